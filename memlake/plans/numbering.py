@@ -16,22 +16,17 @@ def gapless_number(df: DataFrame, groups: list[str], order: Column, out: str, bu
     columns that settle equal hashes; fully equal rows are interchangeable.
     """
     names = [f"__g{i}" for i in range(len(groups))]
-    keyed = df.withColumns(
-        {**{n: F.col(g) for n, g in zip(names, groups)}, "__o": order}
-    ).withColumn("__b", F.pmod(F.shiftrightunsigned(F.col("__o"), 33), F.lit(buckets)).cast("int"))
+    keyed = df.withColumns({
+        **{n: F.coalesce(F.concat(F.lit("v"), F.col(g).cast("string")), F.lit("n")) for n, g in zip(names, groups)},
+        "__o": order,
+    }).withColumn("__b", F.pmod(F.shiftrightunsigned(F.col("__o"), 33), F.lit(buckets)).cast("int"))
     sizes = keyed.groupBy(*names, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*names).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *[F.col(n).alias(f"{n}s") for n in names], F.col("__b").alias("__bs"),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
-    )
-    same = F.col("__b") == F.col("__bs")
-    for n in names:
-        same = same & F.col(n).eqNullSafe(F.col(f"{n}s"))
+    starts = sizes.select(*names, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy(*names, "__b").orderBy("__o", *ties)
     numbered = keyed.withColumn("__r", F.row_number().over(inside))
     return (
-        numbered.join(starts, same, "left")
+        numbered.join(starts, [*names, "__b"])
         .withColumn(out, (F.col("__start") + F.col("__r") - 1).cast("long"))
-        .drop(*names, *[f"{n}s" for n in names], "__o", "__b", "__bs", "__start", "__r")
+        .drop(*names, "__o", "__b", "__start", "__r")
     )
