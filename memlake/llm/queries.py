@@ -5,18 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.llm.exact_dedup import exact_duplicates
+from memlake.llm.mixing import mix_sources
 from memlake.llm.near_dedup import near_duplicates
+from memlake.llm.sharding import shard_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact dedup of all documents through counting quotient filters."""
+    return exact_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OP1_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY norm)
+"""
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into 8 shards, row counts at most one apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return shard_rows(rows, ["doc_id", "size", "text_crc32"]).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their place in the mix of sources."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix_sources(rows, ["doc_id"])
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SuperMinHash near-dedup of all documents, 4-word shingles, 80 per cent."""
     found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op9_near_dedup": op9_near_dedup}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op3_sharding": op3_sharding,
+    "op5_mixing": op5_mixing,
+    "op9_near_dedup": op9_near_dedup,
+}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
