@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+import public_tokenizers
+from memlake.llm.decontaminate import contaminated_passages
 from memlake.llm.exact_dedup import exact_duplicates
+from memlake.llm.langid import fit, identify
 from memlake.llm.mixing import mix_sources
 from memlake.llm.near_dedup import near_duplicates
 from memlake.llm.sharding import shard_rows
+from memlake.llm.token_store import read_token_store, write_token_store
+from memlake.plans.shared import SharedStage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +43,33 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds."""
+    return contaminated_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their place in the mix of sources."""
     rows = _table(spark, sf_dir, "documents").select("doc_id", "source")
     return mix_sources(rows, ["doc_id"])
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; documents with remainder 2 are held out of the fit."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = fit(docs.where(~F.coalesce(held, F.lit(False))))
+    return identify(docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids, written to a store and read back."""
+    path = SharedStage(spark, "tokens").path("store")
+    write_token_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    back = read_token_store(spark, path)
+    return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SuperMinHash near-dedup of all documents, 4-word shingles, 80 per cent."""
     found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
@@ -52,7 +79,11 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_sharding": op3_sharding,
+    "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
+    "op6_language_id": op6_language_id,
+    "op7_token_store": op7_token_store,
     "op9_near_dedup": op9_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
