@@ -9,7 +9,10 @@ import corpus_pipeline
 import public_tokenizers
 from memlake.llm.decontaminate import contaminated_passages
 from memlake.llm.exact_dedup import exact_duplicates
+from memlake.llm.html_extract import main_text
 from memlake.llm.langid import fit, identify
+from memlake.llm.license_scan import scan_licenses
+from memlake.llm.line_dedup import drop_recurring_lines
 from memlake.llm.mixing import mix_sources
 from memlake.llm.near_dedup import near_duplicates
 from memlake.llm.sharding import shard_rows
@@ -34,6 +37,11 @@ FROM n WINDOW w AS (PARTITION BY norm)
 """
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 8 shards, row counts at most one apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -70,20 +78,33 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license wording that a document holds."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SuperMinHash near-dedup of all documents, 4-word shingles, 80 per cent."""
     found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines whose template recurs."""
+    return drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_html_text": op2_html_text,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op7_token_store": op7_token_store,
+    "op8_license_scan": op8_license_scan,
     "op9_near_dedup": op9_near_dedup,
+    "op10_line_dedup": op10_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
