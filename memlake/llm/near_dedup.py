@@ -16,10 +16,11 @@ Steps, all on Spark:
 4. First links: each class against the class that is least in most of its
    buckets, confirmed on the full sets; components by union-find rounds.
 5. Rest: pairs of one bucket that are still in different components.  Buckets
-   of up to ``bucket_pairs`` classes give their pairs; larger ones are compared
-   block by block inside tasks, on signatures.  What may reach the threshold is
-   again confirmed on full sets.  Pairs inside one component need no check:
-   they cannot change the answer.
+   of up to ``bucket_pairs`` classes give their pairs, confirmed on full sets.
+   Larger ones are compared block by block inside tasks: products of 0/1
+   matrices give the exact sizes of all intersections, and only links that join
+   two components leave the task, at most one per class.  Pairs inside one
+   component need no check: they cannot change the answer.
 """
 
 from __future__ import annotations
@@ -102,13 +103,11 @@ def _sketches(id_col: str, text: str, shingle: int, bands: int, rows: int):
                     for j in range(rows):
                         key = tv.mix(key * U64(31) + table[:, j::rows] + U64(j + 1))
                     key = tv.mix(key + np.arange(1, bands + 1, dtype=U64)[None, :])
-                    short = (tv.mix(table) >> U64(32)).astype(np.uint32)
                 one, two = fingerprints(values, of_row)
                 keys = pa.ListArray.from_arrays(np.arange(0, (high - low) * bands + 1, bands, dtype=np.int32), pa.array(key.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_col).slice(low, high - low), pa.array(np.diff(of_row)), pa.array(one), pa.array(two), keys,
-                     pa.array([r.tobytes() for r in short], pa.binary())],
-                    ["id", "n", "fp1", "fp2", "bands", "sig"])
+                    [batch.column(id_col).slice(low, high - low), pa.array(np.diff(of_row)), pa.array(one), pa.array(two), keys],
+                    ["id", "n", "fp1", "fp2", "bands"])
 
     return run
 
@@ -146,32 +145,55 @@ def _confirm(percent: int):
     return run
 
 
-def _near_signatures(size: int, least: float):
-    """Block pairs of one large bucket: pairs of different components whose signatures may reach the threshold."""
+def common_sizes(first: list[np.ndarray], second: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets: products of 0/1 matrices, some columns at a time."""
+    sets = [*first, *second]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1  # an element of one set is in no intersection
+    number = np.cumsum(shared) - 1
+    row, column = row[shared[column]], number[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(first), len(second)), np.float32)
+    for at in range(0, int(shared.sum()), columns):
+        low, high = np.searchsorted(column, [at, at + columns])
+        table = np.zeros((len(sets), columns), np.float32)
+        table[row[low:high], column[low:high] - at] = 1
+        out += table[: len(first)] @ table[len(first) :].T
+    return out
+
+
+def _link_blocks(percent: int):
+    """Two blocks of one large bucket: links that join different components, at most one per class."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids = table["id"].to_numpy()
-        home = table["component"].to_numpy()
-        n = table["n"].to_numpy()
-        side = table["block"].to_numpy()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(len(ids), size)
-        first = np.flatnonzero(side == key[1].as_py())
-        second = np.flatnonzero(side == key[2].as_py())
-        a, b = [], []
-        for i in first:
-            alike = (sig[second] == sig[i]).sum(axis=1) >= least * size
-            small = np.minimum(n[second], n[i]) * 100 >= 80 * np.maximum(n[second], n[i]) if least > 0.5 else True
-            hit = second[alike & small & (home[second] != home[i])]
-            a += [ids[i]] * len(hit)
-            b += ids[hit].tolist()
-        return pa.table({"a": pa.array(np.minimum(a, b) if a else [], pa.int64()), "b": pa.array(np.maximum(a, b) if a else [], pa.int64())})
+        ids, home, side = (table[c].to_numpy() for c in ("id", "component", "block"))
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in table["elements"]]
+        n = np.array([len(x) for x in sets])
+        a, b = np.flatnonzero(side == key[1].as_py()), np.flatnonzero(side == key[2].as_py())
+        both = common_sizes([sets[i] for i in a], [sets[i] for i in b])
+        linked = (100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)) & (home[a][:, None] != home[b][None, :])
+        x, y = a[np.nonzero(linked)[0]], b[np.nonzero(linked)[1]]
+        _, label = np.unique(home, return_inverse=True)
+        left, right = [], []
+        while len(x):  # take one link of each component that has any, join, and go on
+            for i in np.unique(label[x], return_index=True)[1]:
+                low, high = sorted((label[x[i]], label[y[i]]))
+                if low != high:
+                    left.append(ids[x[i]])
+                    right.append(ids[y[i]])
+                    label[label == high] = low
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-    bands: int = 24, rows: int = 4, bucket_pairs: int = 32, block: int = 512,
+    bands: int = 24, rows: int = 4, bucket_pairs: int = 32, block: int = 256,
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
@@ -185,14 +207,13 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     stage = SharedStage(spark, "near")
-    size = bands * rows
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = stage.put(
-        base.mapInArrow(_sketches("id", "text", shingle, bands, rows), "id long, n long, fp1 long, fp2 long, bands array<long>, sig binary"), "sketches")
+        base.mapInArrow(_sketches("id", "text", shingle, bands, rows), "id long, n long, fp1 long, fp2 long, bands array<long>"), "sketches")
     # Equal sets make one class, known by its least id.
     classes = stage.put(
-        seen.where("n > 0 AND id IS NOT NULL").groupBy("n", "fp1", "fp2").agg(F.min(F.struct("id", "bands", "sig")).alias("m"))
-        .select("n", "fp1", "fp2", F.col("m.id").alias("id"), F.col("m.bands").alias("bands"), F.col("m.sig").alias("sig")), "classes")
+        seen.where("n > 0 AND id IS NOT NULL").groupBy("n", "fp1", "fp2").agg(F.min(F.struct("id", "bands")).alias("m"))
+        .select("n", "fp1", "fp2", F.col("m.id").alias("id"), F.col("m.bands").alias("bands")), "classes")
     entries = classes.select("id", "n", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1")
     bucketed = stage.put(entries.join(shared, "key").select("key", "id", "n", "centre"), "bucketed")
@@ -225,12 +246,12 @@ def near_duplicates(
     fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     pairs = x.join(y, "key").where(fits).select("a", "b")
     # Large mixed buckets: each class meets every block of its bucket once.
-    many = rest.where(F.col("c") > bucket_pairs).join(classes.select("id", "sig"), "id")
+    many = rest.where(F.col("c") > bucket_pairs).join(sets, "id")
     blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
     many = many.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "n", "component", "block", "sig")
-    pairs = pairs.unionByName(many.groupBy("key", "i", "j").applyInArrow(_near_signatures(size, max(0.0, percent / 100 - 0.25)), "a long, b long"))
-    more = stage.put(confirmed(pairs.distinct()), "more")
+    many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block", "elements")
+    joined = many.groupBy("key", "i", "j").applyInArrow(_link_blocks(percent), "a long, b long")
+    more = stage.put(confirmed(pairs.distinct()).unionByName(joined.distinct()), "more")
     final = connected_components(links.unionByName(more), "a", "b")
     home = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "fp1", "fp2", F.coalesce("component", "id").alias("component"))
     done = seen.select("id", "n", "fp1", "fp2").join(home, ["n", "fp1", "fp2"], "left").select(
