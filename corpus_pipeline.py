@@ -17,7 +17,7 @@ from memlake.llm.sharding import shard_rows
 from memlake.plans.shared import SharedStage
 
 #: Language ID rejects a text without letters, or one where no language has this share of the letters.
-LEAST_LANGUAGE_SHARE = 0.5
+LEAST_LANGUAGE_SHARE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
