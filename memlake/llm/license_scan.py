@@ -127,6 +127,7 @@ class Templates:
                 end = min(int(begin[w]) + 2 * (BLOCK << lv), int(cut[r + 1]))
                 window = np.unique(values[begin[w] : end])
                 for i, own, _ in group:
+                    need = least if size > 2 else 1.0  # one word tells short notices apart
                     found = float(np.isin(own, window, assume_unique=True).sum() / len(own))
                     place = int(begin[w] - cut[r])
                     old = best.get((r, i), (0.0, 0))
