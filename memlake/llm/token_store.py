@@ -11,8 +11,10 @@ Both are Parquet, so any file system that Spark reads will do.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,33 +62,75 @@ def decode_chunk(raw: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: itself where it prints, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Known(dict):
+    """A memory that works a missing entry out."""
+
+    def __init__(self, find: Callable):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key):
+        found = self[key] = self.find(key)
+        return found
+
+
 class WordEncoder:
-    """Encodes texts word by word with a memory of words.
+    """Encodes texts word by word with a memory of ``memory`` words.
 
-    The tokenizer must not look across ASCII white space, as those that drop it
-    do; then a text's ids are its words' ids in turn.
+    For a byte-level BPE with word ends that lower-cases and drops white space:
+    a text's ids are its words' ids in turn.  Words of printable ASCII and
+    Latin-1 letters are cut into runs of letters, single digits and other signs,
+    as that tokenizer cuts them, and the runs go straight to the library's BPE
+    model; all other words go through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer_file: str, memory: int = 250_000):
+    plain = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+").fullmatch  # no apostrophe, no start of a special token
+    runs = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+
+    def __init__(self, tokenizer_file: str, memory: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.memory, self.known = memory, {}
+        self.memory, self.words, self.pieces = memory, _Known(self._word), _Known(self._piece)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def _piece(self, run: str) -> bytes:
+        written = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode("utf-8")))
+        found = [t.id for t in self.model.tokenize(written)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8")
+        if self.plain(word):
+            return b"".join(map(self.pieces.__getitem__, self.runs(word.lower())))
+        found = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        split = [t.split() for t in texts]
-        known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        if len(known) + len(fresh) > self.memory:
-            known.clear()
-            fresh = list({w for words in split for w in words})
-        for a in range(0, len(fresh), 20_000):
-            part = fresh[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for known in (self.words, self.pieces):
+            if len(known) > self.memory:
+                known.clear()
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.split())) for t in texts]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _encoder(tokenizer_file: str) -> WordEncoder:
+    """One encoder per Python worker, kept from task to task."""
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = WordEncoder(tokenizer_file)
+    return _encoders[tokenizer_file]
 
 
 def _encode(tokenizer_file: str, end_id: int, chunk_ids: int):
@@ -94,7 +138,7 @@ def _encode(tokenizer_file: str, end_id: int, chunk_ids: int):
     shape = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, chunk = WordEncoder(tokenizer_file), TaskContext.get().partitionId(), 0
+        encode, part, chunk = _encoder(tokenizer_file), TaskContext.get().partitionId(), 0
         ids, held, n = [], [], 0
 
         def packed() -> pa.RecordBatch:
