@@ -94,7 +94,7 @@ class WordEncoder:
     plain = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+").fullmatch  # no apostrophe, no start of a special token
     runs = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
-    def __init__(self, tokenizer_file: str, memory: int = 300_000):
+    def __init__(self, tokenizer_file: str, memory: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
