@@ -1,7 +1,8 @@
 """Line dedup by a log-template tree (operator 10, native).
 
 Each line is parsed along a tree of fixed depth: its token count, then its
-leading tokens, where tokens with a digit stand as ``<*>``.  Two rounds give
+leading tokens, where tokens with a digit stand as ``<*>`` (a line that is mostly
+such tokens has no wording to go by and stands for itself).  Two rounds give
 templates:
 
 * the line with its digit tokens generalised, and
@@ -25,8 +26,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def _tokens(line: Column) -> Column:
-    """Tokens of a line, those with a digit generalised."""
-    return F.filter(F.split(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>"), SPACES), lambda t: t != "")
+    """Tokens of a line, those with a digit generalised, unless they are more than half of it."""
+    raw = F.filter(F.split(line, SPACES), lambda t: t != "")
+    loose = F.filter(F.split(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>"), SPACES), lambda t: t != "")
+    fixed = F.size(F.filter(loose, lambda t: t != "<*>"))
+    return F.when(line.rlike("[0-9]"), F.when(2 * fixed >= F.size(loose), loose).otherwise(raw)).otherwise(raw)
 
 
 def _recurring(lines: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
