@@ -63,8 +63,7 @@ def tokenize(text: Column) -> Column:
     """keyword tokens, repeats kept; no stop words, none of one character."""
     cleaned = F.regexp_replace(F.lower(text), r"[#*`\[\](){}|>~_]", " ")
     found = F.regexp_extract_all(cleaned, F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)*"), F.lit(0))
-    stop = strings(STOPWORDS)
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))
 
 
 def light_stem(token: Column) -> Column:
@@ -168,7 +167,7 @@ def looks_high_entropy(token: Column, bits: float = 3.5) -> Column:
 def title_tokens(title: Column) -> Column:
     """distinct lower-case words of a title, 3 bytes or more, no stop words."""
     words = F.split(F.lower(title), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.filter(words, lambda w: (F.octet_length(w) >= 3) & ~F.array_contains(strings(TITLE_STOPWORDS), w)))
+    return F.array_distinct(F.filter(words, lambda w: (F.octet_length(w) >= 3) & ~w.isin(TITLE_STOPWORDS)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
