@@ -240,3 +240,69 @@ def route_intent(prompt: Column, fresh_state: Column) -> Column:
         stands = lower.rlike(rf"{loose}|(?<![\p{{L}}\p{{N}}])(?:{alone})(?![\p{{L}}\p{{N}}])")
         out = F.when(hit & ~fresh_state, "general_question").when(stands & fresh_state, intent).otherwise(out)
     return out
+
+
+def _cut_at_word(s: Column, limit: int) -> Column:
+    cut = F.left(s, F.lit(limit))
+    kept = F.when(F.instr(cut, " ") > 0, F.regexp_replace(cut, r"(?s) [^ ]*\z", "")).otherwise(cut)
+    return F.when(F.length(s) <= limit, F.trim(s)).otherwise(F.trim(F.concat(F.regexp_replace(kept, r"[,;:]+\z", ""), F.lit("…"))))
+
+
+#: Markup taken off before a summary, in this order, and what takes its place.
+CHROME = [
+    (r"(?s)\A---\n.*?\n---\n", ""), (r"(?s)```.*?```|`[^`]*`", " "), (r"(?m)^\s*(?:#\w+\s*)+$", ""), (r"(?m)^\s{0,3}#{1,6}\s+", ""),
+    (r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1"), (r"\[\[([^\]|]+)\]\]", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"),
+    (r"(?m)^\s*>\s?", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")]
+
+
+def plain_text(content: Column) -> Column:
+    """a note without its markup."""
+    out = F.coalesce(content, F.lit(""))
+    for pattern, instead in CHROME:
+        out = F.regexp_replace(out, pattern, instead)
+    return F.regexp_replace(out, r"\A\s+|\s+\z", "")
+
+
+def summary_paragraph(plain: Column, limit: int = 480) -> Column:
+    """the first paragraph of 40 characters or with an end mark, else the first two joined."""
+    paras = F.filter(F.transform(F.split(plain, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"\A\s+|\s+\z", "")), lambda p: p != "")
+    told = F.filter(paras, lambda p: (F.length(p) >= 40) | p.rlike("[.!?]"))
+    return _cut_at_word(F.coalesce(F.try_element_at(told, F.lit(1)), F.array_join(F.slice(paras, 1, 2), " ")), limit)
+
+
+def summary_sentence(plain: Column, title: Column, limit: int = 180) -> Column:
+    """the first sentence, abbreviations aside, led by the title unless it starts with it."""
+    flat = F.trim(F.regexp_replace(plain, r"\s+", " "))
+    # Each abbreviation's points become a sign of the same length, so positions hold.
+    masked = F.regexp_replace(F.left(flat, F.lit(limit + 80)), r"\b(e|i)\.(g|e)\.", "$1\u0001$2\u0001")
+    masked = F.regexp_replace(masked, r"\b(etc|vs|Mr|Mrs|Dr|No)\.", "$1\u0001")
+    end = F.length(F.regexp_extract(masked, r"(?s)\A(.*?[.!?])\s+[A-Z]", 1))
+    one = F.when(end > 0, F.trim(F.left(flat, end))).otherwise(_cut_at_word(flat, limit))
+    name = F.regexp_replace(F.trim(F.coalesce(title, F.lit(""))), r"\.+\z", "")
+    led = F.contains(F.lower(F.left(one, F.length(name) + 2)), F.lower(name))
+    return F.when(flat == "", "").when((name == "") | led, one).otherwise(_cut_at_word(F.concat(name, F.lit(" — "), one), limit + 80))
+
+
+def resolve_anchor(prompt: Column, now: Column, last_seen: Column) -> Column:
+    """(anchor, start) of the time that a prompt asks about."""
+    q = F.lower(F.coalesce(prompt, F.lit("")))
+    date = F.try_to_timestamp(F.regexp_extract(q, r"since (2\d{3}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd"))
+    midnight = F.date_trunc("day", now)
+    ago = lambda hours: F.timestamp_seconds(F.unix_timestamp(now) - hours * 3600)
+    made = lambda name, start: F.struct(F.lit(name).alias("anchor"), start.alias("start"))
+    missed = q.rlike("did i miss|since last time|since i last|last worked on|since my last|since our last|while i was away")
+    return (F.when(date.isNotNull(), made("explicit_date", date))
+            .when(q.contains("yesterday"), made("yesterday", F.timestamp_seconds(F.unix_timestamp(midnight) - 86400)))
+            .when(q.contains("today"), made("today", midnight)).when(q.contains("this week"), made("this_week", F.date_trunc("week", now)))
+            .when(missed & last_seen.isNotNull(), made("since_last_session", last_seen)).when(missed, made("fallback", ago(24)))
+            .when(q.rlike("last 24|24 hours|24h"), made("last_24h", ago(24))).otherwise(made("fallback", ago(24))))
+
+
+def normalize_room(raw: Column) -> Column:
+    """F39."""
+    return F.regexp_replace(F.trim(raw), r"\A/+|/+\z", "")
+
+
+def folder_of(filename: Column) -> Column:
+    """the first folder of a path, or empty."""
+    return F.regexp_extract(filename, r"\A([^/]+)/", 1)
