@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as tx
 from memlake.operators import curation as cu
+from memlake.operators import notes as no
 from memlake.operators import orchestrate as oc
 from memlake.operators import vector as ve
 from memlake.queries_retrieval import KNN_CTE, _tok
@@ -197,3 +198,61 @@ def summaries_of_documents(spark, sf_dir):
     """a sentence and a paragraph of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", tx.plain_text(F.col("text")).alias("plain"))
     return docs.select("doc_id", tx.summary_sentence(F.col("plain"), F.lit("")).alias("l0"), tx.summary_paragraph(F.col("plain")).alias("l1"))
+
+
+def _marker_sql(kind: str) -> str:
+    return f"regexp_matches(lower(text), '{no.marker_pattern(kind).replace(chr(39), chr(39) * 2)}')"
+
+
+@query("SELECT conv_id, turn, " + ", ".join(f"coalesce({_marker_sql(k)}, false) AS {k}" for k in no.MARKERS) + " FROM conversations")
+def turn_markers(spark, sf_dir):
+    """F29."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[no.has_marker(F.col("text"), k).alias(k) for k in no.MARKERS])
+
+
+ASKED = "kind:note folder:web after:2024-01-10 before:2024-02-20 after:soon release plan"
+
+
+@query("""WITH n AS (SELECT doc_id AS id, ['note', 'observation', 'task'][(doc_id % 3) + 1] AS kind, (CASE WHEN doc_id % 2 = 0 THEN 'web/' ELSE 'desk/' END) || doc_id AS filename, TIMESTAMP '2024-01-01' + to_days((doc_id % 60)::INT) AS made, doc_id % 7 = 0 AS dormant FROM documents)
+SELECT id, filename FROM n WHERE NOT dormant AND kind = 'note' AND starts_with(filename, 'web/') AND made >= TIMESTAMP '2024-01-10' AND made < TIMESTAMP '2024-02-20'""")
+def operator_filters(spark, sf_dir):
+    """A query's operators over documents as notes."""
+    i = F.col("doc_id")
+    notes = table(spark, sf_dir, "documents").select(
+        i.alias("id"), _pick(i % 3, ["note", "observation", "task"]).alias("kind"), F.concat(F.when(i % 2 == 0, "web/").otherwise("desk/"), i.cast("string")).alias("filename"),
+        F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 60 as int))").alias("created_at"), F.when(i % 7 == 0, "dormant").otherwise("fresh").alias("state"), F.lit(None).cast("long").alias("superseded_by"))
+    _, operators = no.parse_query(ASKED)
+    return no.apply_filters(no.visible(notes), operators).select("id", "filename")
+
+
+@query("""SELECT o_orderkey, o_orderstatus, coalesce(array_to_string(list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_partkey IS NOT NULL), ','), '') AS parts
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+def note_detail(spark, sf_dir):
+    """Orders as notes, their lines as links."""
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    out = no.note_detail(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), lines, "o_orderkey", ["l_linenumber", "l_partkey"], [], "links")
+    return out.select("o_orderkey", "o_orderstatus", F.array_join(F.transform("links", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
+
+
+@query("""WITH r AS (SELECT p_size AS cluster, p_name, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey) AS r FROM part)
+SELECT cluster, count(*) AS size, array_to_string(list(p_name ORDER BY r) FILTER (r <= 5), '|') AS titles FROM r GROUP BY cluster""")
+def cluster_summaries(spark, sf_dir):
+    """Part sizes as clusters, prices as ranks."""
+    members = table(spark, sf_dir, "part").select(F.col("p_size").alias("cluster"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("rank"))
+    return no.cluster_summaries(members).withColumn("titles", F.array_join("titles", "|"))
+
+
+_KINDS_OF = ["decision_added", "updated", "task_created", "superseded", "archived", "created", "risk_changed", "source_added", "agent_run_completed"]
+_SECTION_SQL = " ".join(f"WHEN k IN ({', '.join(repr(x) for x in kinds)}) THEN {i}" for i, (_, kinds) in enumerate(no.SECTIONS, 1))
+
+
+@query(f"""WITH c AS (SELECT user_id, event_id, {_pick_sql('event_id % 9', _KINDS_OF)} AS k, (event_id % 97) / 96.0 AS w FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(w, 9) DESC, event_id) AS r FROM c WHERE w >= .30), s AS (SELECT *, CASE WHEN r <= 3 THEN 0 ELSE CASE {_SECTION_SQL} END END AS sec FROM r),
+p AS (SELECT *, row_number() OVER w1 AS place, sum(length(k || ' ' || event_id) + 1) OVER (PARTITION BY user_id ORDER BY sec, r ROWS UNBOUNDED PRECEDING) // 4 AS tokens FROM s WINDOW w1 AS (PARTITION BY user_id ORDER BY sec, r))
+SELECT user_id, place::INT AS place, {_pick_sql('sec', ['Most important changes', *[n for n, _ in no.SECTIONS]])} AS section, event_id AS change_id, tokens::BIGINT AS tokens FROM p WHERE tokens <= 40""")
+def temporal_brief(spark, sf_dir):
+    """T-6: users as scopes."""
+    i = F.col("event_id")
+    kind = _pick(i % 9, _KINDS_OF)
+    c = table(spark, sf_dir, "events").select("user_id", i.alias("change_id"), kind.alias("change_type"), ((i % 97) / 96.0).alias("importance"), F.concat(kind, F.lit(" "), i.cast("string")).alias("line"))
+    return no.brief(c, "user_id", 40).drop("line")

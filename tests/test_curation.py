@@ -3,12 +3,16 @@
 import datetime as dt
 import json
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from memlake import queries_curation as qc
 from memlake.functions import text as tx
 from memlake.operators import code_scan as cs
 from memlake.operators import curation as cu
+from memlake.operators import notes as no
 from memlake.operators import orchestrate as oc
 
 
@@ -144,3 +148,45 @@ def test_calls_and_notes(spark, files):
     assert [r["line"] for r in cs.in_file(defined, "b.rs").collect()] == [1, 2]
     notes = spark.createDataFrame([(1, "see `load_all` and `Row`, `load_all`"), (2, None)], "id int, content string")
     assert [(r["id"], r["path"]) for r in cs.notes_to_code(notes, defined).collect()] == [(1, "src/a.py")]
+
+
+def test_query_operators():
+    assert no.parse_query("kind:note after:2024-02-30 redis before:2024-03-01 state: a:b") == ("after:2024-02-30 redis state: a:b", {"kind": "note", "before": "2024-03-01"})
+
+
+def test_filters_entity_and_default_kinds(spark):
+    rows = [(1, "note", "A/x.md", "fresh", None, "bob"), (2, "observation", "A/y.md", "fresh", None, "bob"), (3, None, "B/z.md", None, None, None), (4, "note", "A/d.md", "dormant", None, "bob"), (5, "note", "A/s.md", "fresh", 1, "bob")]
+    notes = spark.createDataFrame(rows, "id int, kind string, filename string, state string, superseded_by int, agent_id string")
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    live = no.visible(notes)
+    assert ids(live) == [1, 2, 3] and ids(no.apply_filters(live, {})) == [1, 3] and ids(no.apply_filters(live, {"kind": "observation"})) == [2]
+    mentions = spark.createDataFrame([(1, "Redis"), (1, "redis"), (3, "kafka")], "id int, name string")
+    assert ids(no.apply_filters(live, {"entity": "REDIS"}, mentions)) == [1] and ids(no.apply_filters(live, {"folder": "a"})) == [1]
+
+
+def test_supersede_guards(spark):
+    notes = spark.createDataFrame([(1, None), (2, None), (3, 9)], "id int, superseded_by int")
+    pairs = spark.createDataFrame([(1, 1), (2, 3), (2, 1), (3, 77)], "old_id int, new_id int")
+    assert {r["id"]: r["superseded_by"] for r in no.supersede(notes, pairs).collect()} == {1: None, 2: 1, 3: 9}
+
+
+def test_markers(spark):
+    got = lambda t, k: one(spark, no.has_marker(F.col("t"), k), t=t)
+    assert got("We didn't go", "negation") and got("Not yet", "negation") and not got("a notable event", "negation") and not got(None, "negation")
+    assert got("tabs instead of spaces", "comparison") and got("it might, perhaps", "modality")
+
+
+NEW = ["experience_rules", "home_activity", "gate_dispositions", "unit_ledger", "recipe_sections", "fact_adjustment", "temporal_brief", "operator_filters"]
+
+
+@pytest.mark.parametrize("name", NEW)
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    got, want = qc.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(qc.ORACLES[name]).df()
+    key = sorted(got.columns)
+    assert key == sorted(want.columns)
+    text = lambda v: "null" if pd.isna(v) else str(v) if isinstance(v, (bool, str)) else f"{float(v):.6g}"
+    flat = lambda df: sorted(tuple(map(text, r)) for r in df[key].astype(object).itertuples(index=False))
+    assert flat(got) == flat(want)
