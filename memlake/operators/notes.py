@@ -14,6 +14,15 @@ MARKERS = {
     "comparison": ["instead of", "rather than", "as opposed to", "versus"],
     "modality": ["might", "may", "could", "maybe", "perhaps", "possibly", "probably", "potentially", "considering", "thinking about", "we should", "should we", "proposed", "option", "idea", "wondering"],
 }
+#: Further words that the gates look for, with those above.
+GATE_MARKERS = {
+    **MARKERS,
+    "quotation": ["wrote:", "writes:", "said:", "says:", "quote:", "forwarded", "fwd:", "pasted", "according to", "email from", "message from", "as per"],
+    "conditional": ["unless", "except", "if", "provided that", "as long as", "in case", "otherwise", "only when", "only if", "depending on"],
+    "completion": ["was", "were", "has been", "have been", "had been", "completed", "finished", "shipped", "already", "no longer"],
+    "planned": ["will", "i'll", "we'll", "going to", "plan to", "plans to", "planning to", "tomorrow", "next week", "next month", "next quarter", "soon", "later", "might", "may", "could", "intend to"],
+    "time_scope": ["used to", "previously", "formerly", "historically", "back then", "at the time", "until", "last year", "last month", "last quarter", "no longer", "for now", "temporarily"],
+}
 #: The sections of a brief, in order, with the kinds of change in each.
 SECTIONS = [
     ("Decisions", ["decision_added", "approved", "rejected"]),
@@ -29,7 +38,7 @@ OPERATORS = ("kind", "folder", "state", "entity", "after", "before", "agent")
 
 def marker_pattern(kind: str) -> str:
     """one pattern for all words of a list, each apart from letters and digits; contractions end a word."""
-    words = sorted(MARKERS[kind], key=len, reverse=True)
+    words = sorted(GATE_MARKERS[kind], key=len, reverse=True)
     apart = "|".join(w for w in words if w != "n't")
     return rf"(^|[^a-z0-9])({apart})($|[^a-z0-9])" + (r"|[a-z]n't($|[^a-z0-9])" if "n't" in words else "")
 
