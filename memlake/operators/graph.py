@@ -1,11 +1,11 @@
-"""Graph analytics over edge DataFrames."""
+"""Graph analytics over edge DataFrames."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.text import letter_grade
+from memlake.functions.text import letter_grade, typed_wikilinks
 from memlake.operators.components import connected_components
 from memlake.plans.shared import SharedStage
 
@@ -186,3 +186,23 @@ def diagnose(notes: DataFrame, links: DataFrame) -> DataFrame:
     # Weights of the five categories.
     total = 0.25 * F.col("connectivity") + 0.20 * F.col("interlinking") + 0.20 * F.col("cohesion") + 0.20 * F.col("freshness") + 0.15 * F.col("organization")
     return out.withColumn("score", F.round(total * 100).cast("int")).withColumn("grade", letter_grade(F.col("score")))
+
+
+def wikilink_graph(notes: DataFrame) -> DataFrame:
+    """One edge (src, dst, similarity, link_type) per pair of notes (filename, title, content) joined by a wikilink.
+
+    A target is the note of that title (the last file name of equal titles), or
+    else the only one whose title without a closing parenthesis is the target's.
+    Links to nowhere and to the note itself go; of two directions the one from
+    the lesser file name stays.  Null texts link to nothing.
+    """
+    title = F.lower(F.coalesce("title", F.lit("")))
+    bare = lambda c: F.trim(F.regexp_replace(c, r"\s*\([^()]*\)\s*\z", ""))
+    exact = notes.groupBy(title.alias("target")).agg(F.max("filename").alias("__exact"))
+    alone = notes.groupBy(bare(title).alias("__bare")).agg(F.max("filename").alias("__alone"), F.count(F.lit(1)).alias("__n")).where("__n = 1").drop("__n")
+    # Links are made distinct before the joins, so a target that many notes repeat weighs less.
+    links = notes.select("filename", F.explode(typed_wikilinks(F.col("content"))).alias("l")).select("filename", F.col("l.target").alias("target")).distinct()
+    found = links.withColumn("__bare", bare(F.col("target"))).join(exact, "target", "left").join(alone, "__bare", "left")
+    pairs = found.select(F.col("filename").alias("src"), F.coalesce("__exact", "__alone").alias("dst")).where("dst <> src")
+    one = pairs.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("src").alias("src"))
+    return one.select("src", F.when(F.col("src") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("dst"), F.lit(1.0).alias("similarity"), F.lit("manual").alias("link_type"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlake import queries_reports as qr
+from memlake.operators import graph as gr
 from memlake.operators import reports as rp
 from memlake.sources import vault
 
@@ -93,6 +94,13 @@ def test_remember(spark):
     assert got == [(1, "merged", "T", 70, None, .9), (2, "created", "Head", None, 70, .823), (3, "created", "Untitled", None, None, None), (4, "too_large", "t", None, None, None), (5, "created", "t", None, None, None), (6, "created", "t", None, None, None)]
 
 
+def test_wikilink_graph(spark):
+    rows = [("a.md", "Alpha", "[[Beta]] [[beta|uses]] [[Plan]] [[alpha]] [[nowhere]]"), ("b.md", "Beta", "[[ALPHA]] [[Twin]]"), ("p.md", "Plan (v2)", None), ("t1.md", "Twin (x)", "[[Gamma]]"), ("t2.md", "Twin (y)", ""), ("g1.md", "Gamma", ""), ("g2.md", "gamma", "")]
+    got = gr.wikilink_graph(spark.createDataFrame(rows, "filename string, title string, content string"))
+    assert sorted((r["src"], r["dst"]) for r in got.collect()) == [("a.md", "b.md"), ("a.md", "p.md"), ("t1.md", "g2.md")]
+    assert gr.wikilink_graph(spark.createDataFrame([], "filename string, title string, content string")).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(qr.ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
