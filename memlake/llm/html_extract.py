@@ -3,9 +3,10 @@
 A page becomes a sequence of words and tags.  Words score positive, tags
 negative; words under elements that labelled pages show as boilerplate score as
 much below zero as the labels say.  One linear scan finds the contiguous run of
-highest score, the content region.  The region grows to the whole of the
-content element that holds it (an article, a content column), if there is one,
-and gives its blocks without those of boilerplate elements inside it.
+highest score, the content region.  The region grows by the whole of
+the content element that holds most of it (an article, a content column), if
+there is one, and gives its blocks without those of boilerplate elements inside.
+An element with a boilerplate name that wraps the content is no boilerplate.
 
 Weights are log odds of an element's tag and of the words in its class, id and
 role, counted over ``labelled_pages``: small pages whose words are marked as
@@ -26,14 +27,16 @@ from pyspark.sql import functions as F
 
 PIECES = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|noscript|template|svg|iframe|object|textarea|select|canvas|audio|video|math)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|title|noscript|template|svg|iframe|object|textarea|select|canvas|audio|video|annotation|annotation-xml)(?=[\s/>])(?:(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+|[^>]*+)>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)"
     r"|(?P<text>[^<]++|<)", re.S | re.I)
+#: Elements whose content is plain characters: the first end tag ends them.  The other raw ones nest.
+CHARACTERS = frozenset("script style title noscript iframe textarea".split())
 NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br td th".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br td th math semantics mrow mi mo mn ms mtext mspace mstyle msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mpadded mphantom menclose".split())
 #: A new one ends an open one of these.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -72,15 +75,49 @@ def _words_of(attrs: str) -> tuple[list[str], bool]:
     return names, hidden
 
 
+def _ends(html: str, raw: str) -> dict[int, int]:
+    """Where the content of each closed element of this name begins, and where its end tag ends."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.finditer(rf"<(/?){raw}(?=[\s/>])(?:(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+|[^>]*+)>", html, re.I):
+        if not m[1]:
+            if raw != "svg" or not m[0].endswith("/>"):
+                opened.append(m.end())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def _pieces(html: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, tag or text, attributes); kinds: open, close, text."""
-    for m in PIECES.finditer(html):
+    """(kind, tag or text, attributes); kinds: open, close, text.
+
+    Raw elements are left out whole.  One that is never closed is left out to
+    the end of the page if it is a script or style, else only its tag is.
+    """
+    at, known, unclosed = 0, {}, set()
+    while at < len(html):
+        m = PIECES.match(html, at)
+        at = m.end()
         if m["text"] is not None:
             yield "text", m["text"], ""
         elif m["tag"] is not None:
             yield ("close" if m["end"] else "open"), m["tag"].lower(), m["attrs"]
         elif m["tag2"] is not None:
             yield ("close" if m["end2"] else "open"), m["tag2"].lower(), m["attrs2"]
+        elif m["raw"] is not None:
+            raw = m["raw"].lower()
+            if raw not in CHARACTERS:
+                if raw not in known:
+                    known[raw] = _ends(html, raw)
+                at = known[raw].get(at, at)
+            elif raw not in unclosed:
+                end = re.compile(rf"</{raw}(?=[\s/>])[^>]*+>", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                elif raw in ("script", "style"):
+                    return
+                else:
+                    unclosed.add(raw)
 
 
 def fit_weights(pages: Iterable[tuple[str, str]]) -> dict[str, float]:
@@ -101,6 +138,64 @@ def fit_weights(pages: Iterable[tuple[str, str]]) -> dict[str, float]:
     return {f: max(-4.0, min(3.0, math.log((inside[f] + 1) / (outside[f] + 1)))) for f in {*inside, *outside}}
 
 
+class Elements:
+    """The elements of one page by number, parents first; 0 is the page."""
+
+    def __init__(self):
+        self.parent, self.mark, self.words = [0], [0.0], [0]
+        self.holds, self.article, self.main, self.hidden, self.clutter, self.by_tag = [False], [False], [False], [False], [False], [False]
+
+    def add(self, parent: int, tag: str, mark: float, named: bool, hidden: bool, clutter: bool, by_tag: bool) -> int:
+        """A new element: ``mark`` is its boilerplate weight or 0; ``clutter`` tells a boilerplate name, also on an article."""
+        self.parent.append(parent)
+        self.mark.append(mark)
+        self.words.append(0)
+        self.holds.append(tag in ("article", "main") or named and tag not in ("html", "body"))
+        self.article.append(self.article[parent] or tag in ("article", "main"))
+        self.main.append(tag == "main")
+        self.hidden.append(hidden)
+        self.clutter.append(clutter)
+        self.by_tag.append(by_tag)
+        return len(self.parent) - 1
+
+    def _inherit(self) -> list[float]:
+        bad = [0.0]
+        for p, mark in zip(self.parent[1:], self.mark[1:]):
+            bad.append(min(bad[p], mark))
+        return bad
+
+    def boilerplate(self) -> list[float]:
+        """Each element's boilerplate weight or 0, inherited except from wrappers of the content.
+
+        A wrapper is an element, not hidden, with a boilerplate name that holds
+        a main, or one of the page's longest articles, or, by its name only,
+        most of the page's words.  The last two give way to content that is
+        marked up as such elsewhere: comments stay boilerplate beside it.
+        """
+        bad = self._inherit()
+        if not any(self.mark):
+            return bad
+        inside, most, main = list(self.words), [0] * len(bad), [False] * len(bad)
+        for i in range(len(bad) - 1, 0, -1):
+            p = self.parent[i]
+            inside[p] += inside[i]
+            if self.hidden[i]:
+                continue
+            is_main = self.main[i] and not self.clutter[i] and inside[i] > 0
+            is_article = self.article[i] and not self.article[p] and not self.clutter[i]
+            main[p] = main[p] or main[i] or is_main
+            most[p] = max(most[p], most[i], inside[i] if is_article else 0)
+        clean = sum(n for n, b in zip(self.words, bad) if not b)
+        beside = max((inside[i] for i in range(1, len(bad)) if self.holds[i] and not bad[i]), default=0)
+        for i in range(1, len(bad)):
+            if self.mark[i] and not self.hidden[i]:
+                article = most[i] > beside and 2 * most[i] >= most[0] and 2 * clean <= inside[0]
+                bulk = 2 * inside[i] > inside[0] and not beside and not self.by_tag[i]
+                if main[i] or article or bulk:
+                    self.mark[i] = 0.0
+        return self._inherit()
+
+
 class Extractor:
     """Weights ready for use; ``text`` gives a page's main text."""
 
@@ -111,18 +206,18 @@ class Extractor:
     def text(self, html: str | None) -> str:
         if not html:
             return ""
-        # Stack of [tag, boilerplate weight or 0, content holder number or -1, is an article].
-        stack: list[list] = [["", 0.0, -1, False]]
-        blocks: list[list] = []  # [parts, weight, holders]
-        scores: list[float] = []
-        owner: list[int] = []  # block of each scored token
-        holders = 0
+        page = Elements()
+        stack: list[tuple[str, int]] = [("", 0)]  # tag, number of the element
+        blocks: list[list] = []  # [parts, element, elements that may hold content]
+        tokens: list[float] = []  # words, or the cost of a tag
+        within: list[int] = []  # element of each token's words
+        owner: list[int] = []  # block of each token's words, -1 for tags
         fresh = True
 
         def at_block() -> list:
             nonlocal fresh
             if fresh:
-                blocks.append([[], stack[-1][1], tuple(e[2] for e in stack if e[2] >= 0)])
+                blocks.append([[], stack[-1][1], tuple(e for _, e in stack if page.holds[e])])
                 fresh = False
             return blocks[-1]
 
@@ -134,13 +229,16 @@ class Extractor:
                     block = at_block()
                     block[0].append(text)
                     if words:
-                        scores.append(words * (stack[-1][1] or 1.0))
+                        page.words[stack[-1][1]] += words
+                        tokens.append(words)
+                        within.append(stack[-1][1])
                         owner.append(len(blocks) - 1)
                 continue
             inline = what in INLINE
             if not inline:
                 fresh = True
-            scores.append(TAG_COST["inline" if inline else "block"])
+            tokens.append(TAG_COST["inline" if inline else "block"])
+            within.append(0)
             owner.append(-1)
             if what in ("br", "td", "th", "img") and not fresh:
                 blocks[-1][0].append(" ")
@@ -156,22 +254,19 @@ class Extractor:
                 tag_weight = self.weights.get(f"<{what}>", 0.0)
                 own = [w for w in [tag_weight, *[self.weights.get(n, 0.0) for n in names]] if w]
                 low, total = min(own, default=0.0), sum(own)
-                if what == "header" and any(e[3] for e in stack):
+                if what == "header" and any(page.article[e] for _, e in stack):
                     low = 0.0  # an article's own header holds its headline
-                bad = stack[-1][1]
-                if hidden or low < 0 and (total < 0 or low <= -3) and what not in ("html", "body", "article", "main"):
-                    bad = min(bad, low or -4.0)
-                article = stack[-1][3] or what in ("article", "main")
-                holder = -1
-                if not bad and what not in ("html", "body") and (what in ("article", "main") or total > 0):
-                    holder, holders = holders, holders + 1
-                stack.append([what, bad, holder, article])
-            elif any(e[0] == what for e in stack[1:]):
+                clutter = low < 0 and (total < 0 or low <= -3)
+                mark = (low or -4.0) if hidden or clutter and what not in ("html", "body", "article", "main") else 0.0
+                stack.append((what, page.add(stack[-1][1], what, mark, total > 0, hidden, clutter, tag_weight < 0)))
+            elif any(tag == what for tag, _ in stack[1:]):
                 # A stray inline end does not close the blocks around it.
                 depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == what)
                 if not inline or depth == len(stack) - 1:
                     del stack[depth:]
 
+        bad = page.boilerplate()
+        scores = [t if b < 0 else t * (bad[e] or 1.0) for t, b, e in zip(tokens, owner, within)]
         # The contiguous run of highest score.
         best, start, total, begin, span = 0.0, 0, 0.0, 0, (0, 0)
         for i, s in enumerate(scores):
@@ -180,7 +275,7 @@ class Extractor:
             total += s
             if total > best:
                 best, span = total, (begin, i + 1)
-        chosen = sorted({b for b in owner[span[0] : span[1]] if b >= 0 and not blocks[b][1]})
+        chosen = sorted({b for b in owner[span[0] : span[1]] if b >= 0 and not bad[blocks[b][1]]})
         if not chosen:
             return ""
         # The outermost content element that holds most of the region's words.
@@ -188,11 +283,13 @@ class Extractor:
         held = Counter()
         for b in chosen:
             for h in blocks[b][2]:
-                held[h] += sizes[b]
+                if not bad[h]:
+                    held[h] += sizes[b]
         whole = sum(sizes.values())
         wide = [h for h, n in held.items() if 2 * n > whole]
         if wide:
-            chosen = [i for i, block in enumerate(blocks) if min(wide) in block[2] and not block[1]]
+            region = set(chosen)
+            chosen = [i for i, block in enumerate(blocks) if i in region or min(wide) in block[2] and not bad[block[1]]]
         texts = (" ".join("".join(blocks[b][0]).split()) for b in chosen)
         return "\n\n".join(t for t in texts if t)
 

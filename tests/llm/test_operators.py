@@ -295,3 +295,21 @@ def test_pipeline(spark, tmp_path):
     gone = {0, 1, 2, 4, len(texts) - 1, len(texts) - 2, len(texts) - 3}
     assert len(set(ids)) == len(ids) and not set(ids) & gone and len(ids) >= 0.8 * (len(texts) - len(gone))
     assert {"shard", "slot", "text", "lang"} <= set(rows[0].asDict())
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<video-player src=x></video-player><article>Body text</article>", "Body text"),
+    ('<svg class="i"/><article>Body text</article>', "Body text"),
+    ("<article>Body <video src=x> text <svg><svg><text>no</text></svg></svg> ends</article>", "Body text ends"),
+    ("<article>Sum <math><mi>a</mi><mo>+</mo><mn>1</mn><annotation>a + 1</annotation></math> here</article>", "Sum a+1 here"),
+    ("<article>Kept</article><script>var a = '<p>no</p>'", "Kept"),
+    ('<div class="site header-fixed"><nav>Menu</nav><article>Body text of it</article><footer>Foot</footer></div>', "Body text of it"),
+    ('<form id="f"><div class="layout sidebar"><main>Body text of it</main></div></form>', "Body text of it"),
+    ('<div class="modal-ready"><p>Most of the words of this page</p></div><nav>Menu</nav>', "Most of the words of this page"),
+    ('<article>The body is long enough to lead here</article><div class="comments"><article>Nice one</article><p>And many words more than the body has in all of its text</p></div>',
+     "The body is long enough to lead here"),
+    ('<div class="content"><p>One two three four five</p></div><div class="content"><p>Six seven eight</p></div>', "One two three four five\n\nSix seven eight"),
+])
+def test_html_keeps_whole_articles(spark, page, want):
+    df = spark.createDataFrame([(1, f"<html><body>{page}</body></html>")], "page_id int, html string")
+    assert main_text(df).first()["text"] == want
