@@ -12,7 +12,10 @@ templates:
   constant.
 
 A template that recurs in ``min_docs`` different texts goes, with all its lines.
-Lines are told apart by two 64-bit hashes.  Only DataFrame functions run.
+A long one (``long_tokens`` tokens, or six characters for each of as many) goes
+from two different texts on, and its tokens are constant where two lines of the
+leaf have them, too.  Lines are told apart by two hashes of 63 and 64 bits; the
+lowest bit of the first tells the long ones.  Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -33,19 +36,30 @@ def _tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.when(2 * fixed >= F.size(loose), loose).otherwise(raw)).otherwise(raw)
 
 
+def _flagged(hashed: Column, flag: Column) -> Column:
+    """``hashed`` with ``flag`` as its lowest bit."""
+    return hashed.bitwiseAND(F.lit(-2)).bitwiseOR(flag.cast("long"))
+
+
+def _is_long(flagged: str) -> Column:
+    return F.col(flagged).bitwiseAND(F.lit(1)) == 1
+
+
 def _recurring(lines: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
-    """The keys that ``min_docs`` different texts have; equal texts count once."""
-    return lines.select(*keys, "same").distinct().groupBy(*keys).count().where(F.col("count") >= min_docs).select(*keys)
+    """The keys that ``min_docs`` different texts have, or two if the first key tells a long line; equal texts count once."""
+    counts = lines.select(*keys, "same").distinct().groupBy(*keys).count()
+    return counts.where(F.col("count") >= F.when(_is_long(keys[0]), min(2, min_docs)).otherwise(min_docs)).select(*keys)
 
 
 def drop_recurring_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, depth: int = 2, least_constant: float = 0.7,
-    lines_col: str = "n_lines", dropped_col: str = "n_dropped",
+    lines_col: str = "n_lines", dropped_col: str = "n_dropped", long_tokens: int = 20,
 ) -> DataFrame:
     """``docs`` with recurring lines gone from ``text_col``, and the counts of lines and of dropped lines.
 
     Lines end at ``\\n``; blank lines have no template and stay, in place.  A
-    null text stays null with no lines.  Equal texts count as one document, so
+    null text stays null with no lines.  Long templates recur from two texts on.
+    Equal texts count as one document, so
     plain copies do not make their lines recur.  All columns pass through
     (counts are replaced if there); rows repeated in id and text are treated
     alike.
@@ -58,8 +72,10 @@ def drop_recurring_lines(
     cut = keyed.select(F.col("__k").alias("k"), F.xxhash64(body).alias("same"), F.posexplode(F.split(body, "\n")).alias("pos", "line"))
     parsed = cut.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("tokens", _tokens(F.col("line")))
     flat = F.array_join("tokens", " ")
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-    lines = stage.put(parsed.select("k", "same", "pos", F.xxhash64(flat).alias("a"), F.xxhash64(F.lit(1), flat).alias("b"), leaf.alias("leaf")), "lines")
+    many = F.size("tokens") >= long_tokens
+    leaf = _flagged(F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)), many)
+    line = _flagged(F.xxhash64(flat), many | (F.length(flat) >= 6 * long_tokens))
+    lines = stage.put(parsed.select("k", "same", "pos", line.alias("a"), F.xxhash64(F.lit(1), flat).alias("b"), leaf.alias("leaf")), "lines")
     whole = stage.put(_recurring(lines, ["a", "b"], min_docs), "whole")
     gone = lines.join(whole, ["a", "b"]).select("k", "pos")
     # Second round: lines not settled, in leaves that enough different texts share.
@@ -71,14 +87,25 @@ def drop_recurring_lines(
         .withColumn("cut", F.split("body", "\n")).select("k", F.xxhash64("body").alias("same"), "cut", F.explode("asked").alias("p"))
         .select("k", "same", F.col("p.pos").alias("pos"), F.col("p.leaf").alias("leaf"), _tokens(F.element_at("cut", F.col("p.pos") + 1)).alias("tokens")))
     fields = stage.put(again.select("k", "same", "pos", "leaf", F.posexplode("tokens").alias("i", "token")).withColumn("token", F.xxhash64("token")), "fields")
-    constant = fields.groupBy("leaf", "i", "token").count().where(F.col("count") >= min_docs).select("leaf", "i", "token", F.lit(True).alias("fixed"))
+    # Constant (2) for all lines, (1) for long ones only.
+    constant = (
+        fields.groupBy("leaf", "i", "token").count().where((F.col("count") >= min_docs) | _is_long("leaf") & (F.col("count") >= 2))
+        .select("leaf", "i", "token", F.when(F.col("count") >= min_docs, 2).otherwise(1).alias("fixed")))
+
+    def shape(least: int) -> list[Column]:
+        held = F.coalesce(F.col("fixed") >= least, F.lit(False))
+        return [
+            F.sum(F.when(held, F.xxhash64("i", "token")).otherwise(F.xxhash64("i")).cast("decimal(38,0)")).alias(f"sum{least}"),
+            F.sum(F.when(held, F.xxhash64(F.lit(1), "i", "token")).otherwise(F.xxhash64(F.lit(1), "i")).cast("decimal(38,0)")).alias(f"other{least}"),
+            F.avg(held.cast("int")).alias(f"share{least}")]
+
+    shapes = F.array(*[F.struct(F.col(f"sum{x}").alias("sum"), F.col(f"other{x}").alias("sum2"), F.col(f"share{x}").alias("share"), F.lit(x).alias("least")) for x in (2, 1)])
     shaped = (
         fields.join(constant, ["leaf", "i", "token"], "left")
-        .groupBy("k", "same", "pos", "leaf")
-        .agg(F.sum(F.when(F.col("fixed"), F.xxhash64("i", "token")).otherwise(F.xxhash64("i")).cast("decimal(38,0)")).alias("sum"),
-             F.sum(F.when(F.col("fixed"), F.xxhash64(F.lit(1), "i", "token")).otherwise(F.xxhash64(F.lit(1), "i")).cast("decimal(38,0)")).alias("sum2"),
-             F.avg(F.coalesce("fixed", F.lit(False)).cast("int")).alias("share"))
-        .where(F.col("share") >= least_constant))
+        .groupBy("k", "same", "pos", "leaf").agg(*shape(2), *shape(1))
+        .select("k", "same", "pos", "leaf", F.explode(shapes).alias("t"))
+        .where((F.col("t.share") >= least_constant) & ((F.col("t.least") == 2) | _is_long("leaf")))
+        .select("k", "same", "pos", "leaf", "t.sum", "t.sum2"))
     shaped = stage.put(shaped, "shaped")
     loose = shaped.join(_recurring(shaped, ["leaf", "sum", "sum2"], min_docs), ["leaf", "sum", "sum2"]).select("k", "pos")
     drops = gone.unionByName(loose).groupBy(F.col("k").alias("__k")).agg(F.collect_set("pos").alias("__gone"))

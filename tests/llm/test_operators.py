@@ -313,3 +313,14 @@ def test_pipeline(spark, tmp_path):
 def test_html_keeps_whole_articles(spark, page, want):
     df = spark.createDataFrame([(1, f"<html><body>{page}</body></html>")], "page_id int, html string")
     assert main_text(df).first()["text"] == want
+
+
+@pytest.mark.parametrize("copies", [2, 3, 4])
+def test_long_passages_recur_from_two_texts_on(spark, copies):
+    passage, notice = prose(900, 55), "我们" * 90
+    fields = [f"{prose(901, 30)} name{chr(97 + i)} {prose(902, 25)}" for i in range(copies)]
+    texts = [f"{prose(i, 9)}\n{passage}\nshort line here\n{fields[i]}\n{notice}\n{prose(100 + i, 55)}" for i in range(copies)] + [prose(50, 60), f"{prose(901, 15)} {prose(903, 41)}"]
+    got = {r["doc_id"]: r for r in drop_recurring_lines(docs(spark, texts)).collect()}
+    for i in range(copies):
+        assert got[i]["text"] == f"{prose(i, 9)}\nshort line here\n{prose(100 + i, 55)}" and got[i]["n_dropped"] == 3
+    assert [got[i]["text"] for i in (copies, copies + 1)] == texts[copies:]
