@@ -11,11 +11,14 @@ Each window's MinHash signature has ``HASHES`` values, each one a band: a
 template is retrieved when any band agrees.  A window that holds it whole has a
 similarity above 1/4 and is missed with probability 0.75**64 = 1e-8; one that
 holds four fifths of it has more than 0.19, missed with 1e-6.  Retrieved pairs
-are confirmed by exact containment of the template's shingles in the window.
+are confirmed by exact containment of the template's shingles in the window; a phrase that
+tells a license from its rivals must be there, in one shingle.  A wording inside
+that of another license gives way to it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,30 +35,74 @@ _rng = np.random.default_rng(8)
 SLOPE = (_rng.integers(0, 1 << 31, HASHES) * 2 + 1).astype(U32)
 SHIFT = _rng.integers(0, 1 << 32, HASHES).astype(U32)
 
-#: Usual wordings of public licenses, by SPDX identifier.
+#: Usual wordings of public licenses, by SPDX identifier.  Phrases in braces must be present as they are.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", 'Licensed under the {Apache License, Version 2.0} (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to {deal in the Software} without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "Licensed under the GNU General Public License, version 3"),
-    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby {granted, provided that} the above copyright notice and this permission notice appear in all copies"),
+    ("GPL-3.0", "This work is licensed under the {GNU General Public} License, {version 3}"),
+    ("GPL-3.0", "Licensed under the {GNU General Public} License, {version 3}"),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the {GNU General Public} License as published by the Free Software Foundation; either {version 2 of} the License, or (at your option) {any later version}"),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the {GNU General Public} License as published by the Free Software Foundation, either {version 3 of} the License, or (at your option) {any later version}"),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the {GNU Lesser General Public} License"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, {v. 2.0}"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-4.0", "This work is licensed under a Creative {Commons Attribution 4.0} International License"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("All-rights-reserved", "All rights reserved"),
 ]
 
+_BSD = TEMPLATES[6][1]
+_MIT = TEMPLATES[5][1]
+_KEEP = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"
+_SHOW = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"
+_NAMES = "{Neither the name of} the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_AUTHOR = "The name of the author {may not be used} to endorse or promote products derived from this software without specific prior written permission"
+_ADVERTS = "{All advertising materials mentioning} features or use of this software must display the following acknowledgement"
+for _n in (("", "", "", ""), ("1. ", "2. ", "3. ", "4. ")):
+    TEMPLATES += [
+        ("BSD-2-Clause", f"{_BSD}: {_n[0]}{_KEEP}. {_n[1]}{_SHOW}"),
+        ("BSD-3-Clause", f"{_BSD}: {_n[0]}{_KEEP}. {_n[1]}{_SHOW}. {_n[2]}{_NAMES}"),
+        ("BSD-3-Clause", f"{_BSD}: {_n[0]}{_KEEP}. {_n[1]}{_SHOW}. {_n[2]}{_AUTHOR}"),
+        ("BSD-4-Clause", f"{_BSD}: {_n[0]}{_KEEP}. {_n[1]}{_SHOW}. {_n[2]}{_ADVERTS}: This product includes software developed by the organization. {_n[3]}{_NAMES}"),
+    ]
+for _id, _name, _versions in (("GPL", "{GNU General Public} License", ("1.0", "2.0", "3.0")), ("LGPL", "{GNU Lesser General Public} License", ("2.1", "3.0")),
+                              ("LGPL", "{GNU Library General Public} License", ("2.0",)), ("AGPL", "{GNU Affero General Public} License", ("3.0",))):
+    for _v in _versions:
+        _short = _v.removesuffix(".0")
+        _free = f"is free software; you can redistribute it and/or modify it under the terms of the {_name}"
+        for _what in ("This program", "This library"):
+            TEMPLATES += [
+                (f"{_id}-{_v}-or-later", f"{_what} {_free} as published by the Free Software Foundation; either {{version {_short} of}} the License, or (at your option) {{any later version}}"),
+                (f"{_id}-{_v}-only", f"{_what} {_free} as published by the Free Software {{Foundation; version {_short} of}} the License"),
+                (f"{_id}-{_v}-only", f"{_what} {_free} {{version {_short} as}} published by the Free Software Foundation"),
+            ]
+        for _lead in ("Licensed under", "This work is licensed under"):
+            TEMPLATES += [(f"{_id}-{_v}", f"{_lead} the {_name}, {{version {_short}}}"), (f"{_id}-{_v}-or-later", f"{_lead} the {_name}, {{version {_short} or later}}"),
+                          (f"{_id}-{_v}-or-later", f"{_lead} the {_name}, {{version {_short} or any}} later version")]
+for _kind, _long in (("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-NC", "-NonCommercial"), ("BY-ND", "-NoDerivatives"), ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives")):
+    TEMPLATES += [(f"CC-{_kind}-{_v}", f"Licensed under CC {_kind} {_v}") for _v in ("3.0", "4.0")]
+    TEMPLATES += [(f"CC-{_kind}-{_v}", f"This work is licensed under a Creative Commons {{Attribution{_long} {_v}}} {_place} License") for _v, _place in (("3.0", "Unported"), ("4.0", "International"))]
+TEMPLATES += [
+    ("MIT-0", f"{_MIT}, and to permit persons to whom the Software is {{furnished to do so. THE}} SOFTWARE IS PROVIDED"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee {is hereby granted. THE SOFTWARE} IS PROVIDED"),
+    ("ECL-2.0", 'Licensed under the {Educational Community License, Version 2.0} (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.osedu.org/licenses/ECL-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'.replace(", Version 2.0}", "}, Version 2.0")),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License {Version 1.1}"),
+    ("MPL-1.1", "This Source Code Form is subject to the terms of the Mozilla Public License, {v. 1.1}"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License {v1.0}"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License {2.0}"),
+    ("BSL-1.0", "Distributed under the {Boost Software License, Version} 1.0"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+]
+TEMPLATES = list(dict.fromkeys(TEMPLATES))  # first places stay; repeats give the same row
 
 def _hashes(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, of_row = tv.tokens(part, offsets, tv.ALNUM)
@@ -63,11 +110,13 @@ def _hashes(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Templates:
-    """Templates by shingle size and level: shingle sets and a signature each."""
+    """Templates by shingle size and level: shingle sets and a signature each; telling phrases; wider rivals."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         self.names = [n for n, _ in templates]
         self.groups: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        self.telling: dict[int, list[np.ndarray]] = {}
+        self.wider: dict[int, list[int]] = {}
         for i, (_, text) in enumerate(templates):
             data, offsets = tv.utf8(pa.array([text]))
             words, of_row = _hashes(tv.LOWER[data], offsets)
@@ -82,17 +131,42 @@ class Templates:
             with np.errstate(over="ignore"):
                 mark = (short[:, None] * SLOPE + SHIFT).min(axis=0)
             self.groups.setdefault((size, level), []).append((i, own, mark))
+            self.telling[i] = self._telling(text, words, of_row, size) if size == 5 else []
+        sets = [(i, own) for (size, _), g in self.groups.items() if size == 5 for i, own, _ in g]
+        for i, own in sets:
+            self.wider[i] = [j for j, other in sets if len(other) > len(own) and self.names[i] != self.names[j] and np.isin(own, other).mean() >= 0.8]
+
+    @staticmethod
+    def _telling(text: str, words: np.ndarray, of_row: np.ndarray, size: int) -> list[np.ndarray]:
+        """For each phrase in braces, the shingles that hold all of it."""
+        run, out, at = tv.shingles(words, of_row, size)[0], [], 0
+        for n, part in enumerate(re.split("[{}]", text)):
+            data, offsets = tv.utf8(pa.array([part]))
+            count = len(_hashes(tv.LOWER[data], offsets)[0])
+            if n % 2:
+                if count > size:
+                    raise ValueError(f"a phrase in braces has more than {size} words: {part}")
+                out.append(run[max(at + count - size, 0) : at + 1])
+            at += count
+        return out
 
     def matches(self, words: np.ndarray, of_row: np.ndarray, least: float) -> dict[tuple[int, int], tuple[float, int]]:
         """(row, template) -> (best containment, first word of the window)."""
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        spots: dict[tuple[int, int], list[tuple[float, int, int, int]]] = {}
         for size in sorted({s for s, _ in self.groups}):
             values, cut = tv.shingles(words, of_row, size)
             if len(values):
-                self._scan(size, values, cut, least, best)
+                self._scan(size, values, cut, least, spots)
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for (r, i), found in spots.items():
+            over = [(a, b) for j in self.wider.get(i, ()) for _, _, a, b in spots.get((r, j), ())]
+            free = [(-share, place) for share, place, a, b in found if not any(c <= a and b <= d for c, d in over)]
+            if free:
+                share, place = min(free)
+                best[r, i] = -share, place
         return best
 
-    def _scan(self, size: int, values: np.ndarray, cut: np.ndarray, least: float, best: dict) -> None:
+    def _scan(self, size: int, values: np.ndarray, cut: np.ndarray, least: float, spots: dict) -> None:
         short = (values >> np.uint64(32)).astype(U32)
         levels = {lv: g for (s, lv), g in self.groups.items() if s == size}
         edges = []  # per level: block starts, row of each block
@@ -125,21 +199,23 @@ class Templates:
             for w in np.unique(np.concatenate(hits[lv])).tolist():
                 r = int(row[w])
                 end = min(int(begin[w]) + 2 * (BLOCK << lv), int(cut[r + 1]))
-                window = np.unique(values[begin[w] : end])
+                part = values[begin[w] : end]
+                window = np.unique(part)
                 for i, own, _ in group:
                     need = least if size > 2 else 1.0  # one word tells short notices apart
                     found = float(np.isin(own, window, assume_unique=True).sum() / len(own))
-                    place = int(begin[w] - cut[r])
-                    old = best.get((r, i), (0.0, 0))
-                    if found >= need and (found > old[0] or found == old[0] and place < old[1]):
-                        best[r, i] = found, place
+                    if found >= need and all(np.isin(t, window).any() for t in self.telling[i]):
+                        place = int(begin[w] - cut[r])
+                        held = np.flatnonzero(np.isin(part, own))
+                        spots.setdefault((r, i), []).append((found, place, place + int(held[0]), place + int(held[-1])))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:
     """``(doc_id, license, template, containment, window_word)`` per template that a document holds, its best window.
 
     A template has at least ``least`` of its shingles in the window, one of fewer than
-    nine words all of them.  ``template`` numbers the list; words are runs of letters and digits, A-Z
+    nine words all of them, and its phrases in braces; one of another license that holds
+its wording and more takes the passage.  ``template`` numbers the list; words are runs of letters and digits, A-Z
     lower-cased.  Null and empty texts match nothing; a text shorter than a
     shingle is one.  Nothing is shuffled.
     """

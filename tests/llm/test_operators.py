@@ -324,3 +324,28 @@ def test_long_passages_recur_from_two_texts_on(spark, copies):
     for i in range(copies):
         assert got[i]["text"] == f"{prose(i, 9)}\nshort line here\n{prose(100 + i, 55)}" and got[i]["n_dropped"] == 3
     assert [got[i]["text"] for i in (copies, copies + 1)] == texts[copies:]
+
+
+FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+CLAUSES = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain "
+           "the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+           "the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+
+
+def test_licenses_tell_rivals_apart(spark):
+    cases = [
+        ("This work is licensed under the GNU General Public License, version 2", {"GPL-2.0"}), ("Licensed under the GNU General Public License, version 2", {"GPL-2.0"}),
+        ("Licensed under the GNU General Public License, version 3", {"GPL-3.0"}), ("Licensed under the GNU General Public License, version 3 or later", {"GPL-3.0-or-later"}),
+        (FREE.format("General Public", 2), {"GPL-2.0-or-later"}), (FREE.format("General Public", 3), {"GPL-3.0-or-later"}), (FREE.format("Affero General Public", 3), {"AGPL-3.0-or-later"}),
+        (FREE.format("Lesser General Public", "2.1"), {"LGPL-2.1-or-later"}), (FREE.format("General Public", 3).replace("either ", "").split(", or")[0], {"GPL-3.0-only"}),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1", {"MPL-1.1"}), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", {"MPL-2.0"}),
+        (CLAUSES + "THIS SOFTWARE IS PROVIDED AS IS", {"BSD-2-Clause"}),
+        (CLAUSES + "3. Neither the name of the Institute nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", {"BSD-3-Clause"}),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", {"CC-BY-SA-4.0"}),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", {"CC-BY-4.0"}),
+    ]
+    texts = [f"{prose(i, 40 + i)} {t} {prose(90 + i, 30)}" for i, (t, _) in enumerate(cases)]
+    got = collections.defaultdict(set)
+    for r in scan_licenses(docs(spark, texts)).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert [(cases[i][0], got[i]) for i in range(len(cases))] == cases
