@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.plans.names import free_names
+
 
 def gapless_number(df: DataFrame, groups: list[str], order: Column, out: str, buckets: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
     """Add ``out``: 0, 1, ... inside each group, by a 64-bit ``order`` value.
@@ -15,18 +17,18 @@ def gapless_number(df: DataFrame, groups: list[str], order: Column, out: str, bu
     a third of all rows so spreads over ``buckets`` tasks.  ``ties`` names
     columns that settle equal hashes; fully equal rows are interchangeable.
     """
-    names = [f"__g{i}" for i in range(len(groups))]
+    at, bucket, held, start, row, *names = free_names(df, "__o", "__b", "__n", "__start", "__r", *[f"__g{i}" for i in range(len(groups))])
     keyed = df.withColumns({
         **{n: F.coalesce(F.concat(F.lit("v"), F.col(g).cast("string")), F.lit("n")) for n, g in zip(names, groups)},
-        "__o": order,
-    }).withColumn("__b", F.pmod(F.shiftrightunsigned(F.col("__o"), 33), F.lit(buckets)).cast("int"))
-    sizes = keyed.groupBy(*names, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*names).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*names, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*names, "__b").orderBy("__o", *ties)
-    numbered = keyed.withColumn("__r", F.row_number().over(inside))
+        at: order,
+    }).withColumn(bucket, F.pmod(F.shiftrightunsigned(F.col(at), 33), F.lit(buckets)).cast("int"))
+    sizes = keyed.groupBy(*names, bucket).agg(F.count(F.lit(1)).alias(held))
+    before = Window.partitionBy(*names).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*names, bucket, F.coalesce(F.sum(held).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy(*names, bucket).orderBy(at, *ties)
+    numbered = keyed.withColumn(row, F.row_number().over(inside))
     return (
-        numbered.join(starts, [*names, "__b"])
-        .withColumn(out, (F.col("__start") + F.col("__r") - 1).cast("long"))
-        .drop(*names, "__o", "__b", "__start", "__r")
+        numbered.join(starts, [*names, bucket])
+        .withColumn(out, (F.col(start) + F.col(row) - 1).cast("long"))
+        .drop(*names, at, bucket, start, row)
     )
