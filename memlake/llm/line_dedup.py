@@ -14,8 +14,15 @@ templates:
 A template that recurs in ``min_docs`` different texts goes, with all its lines.
 A long one (``long_tokens`` tokens, or six characters for each of as many) goes
 from two different texts on, and its tokens are constant where two lines of the
-leaf have them, too.  Lines are told apart by two hashes of 63 and 64 bits; the
-lowest bit of the first tells the long ones.  Only DataFrame functions run.
+leaf have them, too.  A short line's leaf has its first ``depth`` tokens; a long
+line is in two leaves, one by the first quarter of its tokens and one by the
+last.  So the leaves of long lines hold variants of one wording at any corpus
+size: with two leading tokens they fill up with lines that meet by chance, whose
+tokens then look constant and hide the variants.
+
+All depends on the text alone, so texts are known by two 64-bit hashes.  Lines
+are told apart by two hashes of 63 and 64 bits; the lowest bit of the first
+tells the long ones.  Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.plans.names import free_names
 from memlake.plans.shared import SharedStage
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -47,7 +55,7 @@ def _is_long(flagged: str) -> Column:
 
 def _recurring(lines: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
     """The keys that ``min_docs`` different texts have, or two if the first key tells a long line; equal texts count once."""
-    counts = lines.select(*keys, "same").distinct().groupBy(*keys).count()
+    counts = lines.select(*keys, "t1").distinct().groupBy(*keys).count()
     return counts.where(F.col("count") >= F.when(_is_long(keys[0]), min(2, min_docs)).otherwise(min_docs)).select(*keys)
 
 
@@ -58,38 +66,49 @@ def drop_recurring_lines(
     """``docs`` with recurring lines gone from ``text_col``, and the counts of lines and of dropped lines.
 
     Lines end at ``\\n``; blank lines have no template and stay, in place.  A
-    null text stays null with no lines.  Long templates recur from two texts on.
-    Equal texts count as one document, so
-    plain copies do not make their lines recur.  All columns pass through
-    (counts are replaced if there); rows repeated in id and text are treated
-    alike.
+    null text stays null with no lines, an empty one stays empty.  Long
+    templates recur from two texts on, short ones from ``min_docs``, a fixed
+    number whatever the corpus size.  Equal texts count as one document, so
+    plain copies do not make their lines recur, and all of them lose the same
+    lines; rows repeated in id and text are treated alike, null ids as any
+    other.  All columns pass through, in their order (counts are replaced if
+    there); no name of an input column is taken.  ``id_col`` is not looked at: a
+    line's fate depends on texts alone.  A text of any length is cut into lines
+    once per round; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     stage = SharedStage(spark, "lines")
     docs = docs.drop(lines_col, dropped_col)
+    t1, t2, lost, parts = free_names(docs, "__t1", "__t2", "__lost", "__parts")
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("__k", F.xxhash64(F.col(id_col), body))
-    cut = keyed.select(F.col("__k").alias("k"), F.xxhash64(body).alias("same"), F.posexplode(F.split(body, "\n")).alias("pos", "line"))
+    known = [F.xxhash64(body), F.xxhash64(F.lit(7), body)]
+    cut = docs.select(known[0].alias("t1"), known[1].alias("t2"), F.posexplode(F.split(body, "\n")).alias("pos", "line"))
     parsed = cut.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("tokens", _tokens(F.col("line")))
-    flat = F.array_join("tokens", " ")
-    many = F.size("tokens") >= long_tokens
-    leaf = _flagged(F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)), many)
+    flat, n = F.array_join("tokens", " "), F.size("tokens")
+    many = n >= long_tokens
+    lead = F.when(many, F.floor(n / 4)).otherwise(F.lit(depth)).cast("int")
+    front = _flagged(F.xxhash64(n, F.slice("tokens", F.lit(1), lead)), many)
+    back = F.when(many, _flagged(F.xxhash64(F.lit(1), n, F.slice("tokens", n - lead + 1, lead)), many))
     line = _flagged(F.xxhash64(flat), many | (F.length(flat) >= 6 * long_tokens))
-    lines = stage.put(parsed.select("k", "same", "pos", line.alias("a"), F.xxhash64(F.lit(1), flat).alias("b"), leaf.alias("leaf")), "lines")
-    whole = stage.put(_recurring(lines, ["a", "b"], min_docs), "whole")
-    gone = lines.join(whole, ["a", "b"]).select("k", "pos")
+    lines = stage.put(parsed.select("t1", "t2", "pos", line.alias("a"), F.xxhash64(F.lit(1), flat).alias("b"), front.alias("front"), back.alias("back")), "lines")
+    whole = _recurring(lines, ["a", "b"], min_docs).withColumn("settled", F.lit(True))
+    told = stage.put(lines.join(whole, ["a", "b"], "left").select("t1", "t2", "pos", "front", "back", "settled"), "told")
+    stage.drop(lines)
+    gone = told.where("settled").select("t1", "t2", "pos")
     # Second round: lines not settled, in leaves that enough different texts share.
-    rest = lines.join(whole, ["a", "b"], "left_anti")
+    rest = told.where("settled IS NULL").select("t1", "t2", "pos", F.explode(F.array_compact(F.array("front", "back"))).alias("leaf"))
     open_lines = rest.join(_recurring(rest, ["leaf"], min_docs), "leaf")
-    asked = open_lines.select("k", F.struct("pos", "leaf").alias("p")).distinct().groupBy("k").agg(F.collect_list("p").alias("asked"))
+    asked = open_lines.groupBy("t1", "t2").agg(F.collect_set(F.struct("pos", "leaf")).alias("asked"))
     again = (
-        keyed.select(F.col("__k").alias("k"), body.alias("body")).distinct().join(asked, "k")
-        .withColumn("cut", F.split("body", "\n")).select("k", F.xxhash64("body").alias("same"), "cut", F.explode("asked").alias("p"))
-        .select("k", "same", F.col("p.pos").alias("pos"), F.col("p.leaf").alias("leaf"), _tokens(F.element_at("cut", F.col("p.pos") + 1)).alias("tokens")))
-    fields = stage.put(again.select("k", "same", "pos", "leaf", F.posexplode("tokens").alias("i", "token")).withColumn("token", F.xxhash64("token")), "fields")
+        docs.select(known[0].alias("t1"), known[1].alias("t2"), body.alias("body")).join(asked, ["t1", "t2"])
+        .withColumn("cut", F.split("body", "\n")).select("t1", "t2", "cut", F.explode("asked").alias("p"))
+        .select("t1", "t2", F.col("p.pos").alias("pos"), F.col("p.leaf").alias("leaf"), _tokens(F.element_at("cut", F.col("p.pos") + 1)).alias("tokens")))
+    # Equal texts give equal rows: one of them counts.
+    fields = stage.put(again.select("t1", "t2", "pos", "leaf", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")).distinct(), "fields")
+    each = fields.select("t1", "t2", "pos", "leaf", F.posexplode("tokens").alias("i", "token"))
     # Constant (2) for all lines, (1) for long ones only.
     constant = (
-        fields.groupBy("leaf", "i", "token").count().where((F.col("count") >= min_docs) | _is_long("leaf") & (F.col("count") >= 2))
+        each.groupBy("leaf", "i", "token").count().where((F.col("count") >= min_docs) | _is_long("leaf") & (F.col("count") >= 2))
         .select("leaf", "i", "token", F.when(F.col("count") >= min_docs, 2).otherwise(1).alias("fixed")))
 
     def shape(least: int) -> list[Column]:
@@ -101,21 +120,19 @@ def drop_recurring_lines(
 
     shapes = F.array(*[F.struct(F.col(f"sum{x}").alias("sum"), F.col(f"other{x}").alias("sum2"), F.col(f"share{x}").alias("share"), F.lit(x).alias("least")) for x in (2, 1)])
     shaped = (
-        fields.join(constant, ["leaf", "i", "token"], "left")
-        .groupBy("k", "same", "pos", "leaf").agg(*shape(2), *shape(1))
-        .select("k", "same", "pos", "leaf", F.explode(shapes).alias("t"))
+        each.join(constant, ["leaf", "i", "token"], "left")
+        .groupBy("t1", "t2", "pos", "leaf").agg(*shape(2), *shape(1))
+        .select("t1", "t2", "pos", "leaf", F.explode(shapes).alias("t"))
         .where((F.col("t.share") >= least_constant) & ((F.col("t.least") == 2) | _is_long("leaf")))
-        .select("k", "same", "pos", "leaf", "t.sum", "t.sum2"))
+        .select("t1", "t2", "pos", "leaf", F.xxhash64("t.sum", "t.sum2").alias("shape"), F.xxhash64(F.lit(1), "t.sum", "t.sum2").alias("shape2")))
     shaped = stage.put(shaped, "shaped")
-    loose = shaped.join(_recurring(shaped, ["leaf", "sum", "sum2"], min_docs), ["leaf", "sum", "sum2"]).select("k", "pos")
-    drops = gone.unionByName(loose).groupBy(F.col("k").alias("__k")).agg(F.collect_set("pos").alias("__gone"))
-    parts = F.split(F.col(text_col).cast("string"), "\n")
-    joined = keyed.join(drops, "__k", "left")
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(
-        F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
-    return (
-        joined.withColumn(lines_col, F.coalesce(F.size(parts), F.lit(0)))
-        .withColumn(lines_col, F.when(F.col(text_col).isNull(), 0).otherwise(F.col(lines_col)).cast("long"))
-        .withColumn(dropped_col, F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .withColumn(dropped_col, F.when(F.col("__gone").isNull(), 0).otherwise(F.col(dropped_col)).cast("long"))
-        .withColumn(text_col, kept).drop("__k", "__gone"))
+    stage.drop(fields)
+    loose = shaped.join(_recurring(shaped, ["leaf", "shape", "shape2"], min_docs), ["leaf", "shape", "shape2"]).select("t1", "t2", "pos")
+    drops = gone.unionByName(loose).groupBy(F.col("t1").alias(t1), F.col("t2").alias(t2)).agg(F.collect_set("pos").alias(lost))
+    text = F.col(text_col).cast("string")
+    joined = docs.withColumns({t1: known[0], t2: known[1]}).join(drops, [t1, t2], "left").withColumn(parts, F.split(text, "\n"))
+    kept = F.when(F.col(lost).isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(lost, i)), "\n"))
+    return joined.select(
+        *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias(lines_col),
+        F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).cast("long").alias(dropped_col))
