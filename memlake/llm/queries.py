@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 import public_tokenizers
 from memlake.llm.decontaminate import contaminated_passages
 from memlake.llm.exact_dedup import exact_duplicates
@@ -16,6 +15,7 @@ from memlake.llm.line_dedup import drop_recurring_lines
 from memlake.llm.mixing import mix_sources
 from memlake.llm.near_dedup import near_duplicates
 from memlake.llm.sharding import shard_rows
+from memlake.llm.stages import run
 from memlake.llm.token_store import read_token_store, write_token_store
 from memlake.plans.shared import SharedStage
 
@@ -105,6 +105,6 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": run,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
