@@ -1,70 +1,12 @@
-"""The corpus pipeline: five stages over the table of documents.
+"""The corpus pipeline: language ID, near-dedup, decontamination, mixing and sharding of documents.
 
-Each stage takes (spark, docs, sf_dir), is written as Parquet and read again as
-the next one's docs.  All but the last return the columns of documents.
+The stages are in ``memlake.llm.stages``; each takes (spark, docs, sf_dir), is
+written as Parquet and read again as the next one's docs.
 """
 
-from __future__ import annotations
+from memlake.llm.stages import STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from memlake.llm.decontaminate import decontaminate
-from memlake.llm.langid import fit, identify
-from memlake.llm.mixing import mix_sources
-from memlake.llm.near_dedup import near_duplicates
-from memlake.llm.sharding import shard_rows
-from memlake.plans.shared import SharedStage
-
-#: Language ID rejects a text without letters, or one where no language has this share of the letters.
-LEAST_LANGUAGE_SHARE = 0.2
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language; a missing ``lang`` is filled in with the one found."""
-    found = identify(docs, fit(docs), pred_col="__lang", score_col="__share")
-    kept = found.where((F.col("__lang") != "und") & (F.col("__share") >= LEAST_LANGUAGE_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near copies (5-word shingles, 0.8)."""
-    groups = near_duplicates(docs, shingle=5, percent=80)
-    gone = groups.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the mix of sources takes while nearly all sources last (see ``mix_sources``)."""
-    return mix_sources(docs, ["doc_id"]).where("in_mix").select(*docs.columns)
-
-
-def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deal the documents into 8 shards of equal row counts, in uniformly shuffled order."""
-    return shard_rows(docs, ["doc_id"])
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("near_dedup", near_dedup),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("source_mixing", source_mixing),
-    ("sharding", sharding),
-]
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 #: SQL cannot express the language model, SimHash windows or seeded draws; tests hold the stages against plain Python.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written and read again."""
-    stage = SharedStage(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES[:-1]:
-        docs = stage.put(step(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
