@@ -13,10 +13,12 @@ from __future__ import annotations
 import json
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.plans.names import free_names
 from memlake.plans.numbering import gapless_number
 
 
@@ -66,30 +68,39 @@ def communication_matrix(sizes: list[int], shards: list[int], seed: int) -> list
     return matrix
 
 
-def shard_rows(df: DataFrame, key_cols: list[str], shards: int = 8, partitions: int = 256, seed: int = 17, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
+def shard_rows(
+    df: DataFrame, key_cols: list[str], shards: int = 8, partitions: int | None = None, seed: int = 17, shard_col: str = "shard", slot_col: str = "slot",
+    rows_per_partition: int = 200_000,
+) -> DataFrame:
     """Add ``shard`` (0 .. shards - 1) and ``slot`` (gapless from 0 in each shard); all columns and rows stay.
 
     Shard sizes are at most one apart and the order is a uniform shuffle, set by
     ``seed`` and the values of ``key_cols`` alone, whatever the file layout.
-    ``partitions`` is the number of hash partitions that the matrix deals out:
-    choose it so that one of them fits a task.  Nulls in the keys are a value as
-    any other.  Rows equal in all keys may swap places; an empty table gives an
-    empty result.  Existing columns named as the new ones are replaced.
+    ``partitions`` is the number of hash partitions that the matrix deals out;
+    by default one for each ``rows_per_partition`` rows, 256 at least: choose it
+    so that one of them fits a task.  Nulls in the keys are a value as any
+    other.  Rows equal in all keys may swap places; an empty table gives an
+    empty result.  Existing columns named as the new ones are replaced, no other
+    column is touched.
     """
     spark = df.sparkSession
     df = df.drop(shard_col, slot_col)
-    keyed = df.withColumn("__p", F.pmod(F.xxhash64(F.lit(seed), *key_cols), F.lit(partitions)).cast("int"))
-    found = {r["__p"]: r["count"] for r in keyed.groupBy("__p").count().collect()}  # at most `partitions` rows
+    if partitions is None:
+        partitions = max(256, -(-df.count() // rows_per_partition))
+    part, at, ends_col = free_names(df, "__p", "__at", "__ends")
+    keyed = df.withColumn(part, F.pmod(F.xxhash64(F.lit(seed), *key_cols), F.lit(partitions)).cast("int"))
+    found = {r[part]: r["count"] for r in keyed.groupBy(part).count().collect()}  # at most `partitions` rows
     sizes = [found.get(p, 0) for p in range(partitions)]
     total = sum(sizes)
     room = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = communication_matrix(sizes, room, seed)
-    ends = [[sum(row[: s + 1]) for s in range(shards)] for row in matrix]
-    deal = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"__p": p, "__ends": e} for p, e in enumerate(ends)])), "array<struct<__p:int,__ends:array<bigint>>>")).alias("d")).select("d.*")
-    local = Window.partitionBy("__p").orderBy(F.xxhash64(F.lit(seed + 1), *key_cols), *key_cols)
+    ends = [list(accumulate(row)) for row in matrix]
+    deal = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{part: p, ends_col: e} for p, e in enumerate(ends)])), f"array<struct<{part}:int,{ends_col}:array<bigint>>>")).alias("d")).select("d.*")
+    local = Window.partitionBy(part).orderBy(F.xxhash64(F.lit(seed + 1), *key_cols), *key_cols)
     dealt = (
-        keyed.withColumn("__at", F.row_number().over(local))
-        .join(F.broadcast(deal), "__p")  # partitions x shards numbers
-        .withColumn(shard_col, F.size(F.filter("__ends", lambda e: e < F.col("__at"))).cast("int"))
-        .drop("__p", "__at", "__ends"))
-    return gapless_number(dealt, [shard_col], F.xxhash64(F.lit(seed + 2), *key_cols), slot_col, ties=tuple(key_cols))
+        keyed.withColumn(at, F.row_number().over(local))
+        .join(F.broadcast(deal), part)  # partitions x shards numbers
+        .withColumn(shard_col, F.size(F.filter(ends_col, lambda e: e < F.col(at))).cast("int"))
+        .drop(part, at, ends_col))
+    buckets = max(64, -(-total // (shards * rows_per_partition)))
+    return gapless_number(dealt, [shard_col], F.xxhash64(F.lit(seed + 2), *key_cols), slot_col, buckets, ties=tuple(key_cols))
