@@ -74,23 +74,31 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         low = high
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(
+    data: np.ndarray, offsets: np.ndarray, keep: np.ndarray = NOT_SPACE, inside: np.ndarray | None = None, cuts: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, of_row): maximal runs of ``keep`` bytes that stay inside a row.
 
-    ``of_row[i] : of_row[i + 1]`` are the tokens of row i.
+    ``of_row[i] : of_row[i + 1]`` are the tokens of row i.  ``inside`` tells the
+    bytes to keep one by one instead; a run also ends before each place that
+    ``cuts`` (one longer than the data) marks.
     """
-    inside = keep[data]
+    inside = keep[data] if inside is None else inside
     filled = offsets[:-1][offsets[:-1] < offsets[1:]]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
     before[filled] = False
+    if cuts is not None:
+        before[cuts[:-1]] = False
     starts = np.flatnonzero(inside & ~before)
     after = np.empty_like(inside)
     after[-1:] = False
     after[:-1] = inside[1:]
     last = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     after[last] = False
+    if cuts is not None:
+        after[cuts[1:]] = False
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
