@@ -21,7 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.plans.shared import SharedStage
+
 U64 = np.uint64
+#: Up to so many repeated fingerprints are broadcast; beyond, rows meet them in a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -130,19 +134,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     space became one space; null counts as empty.  The row with the least id
     stays; null ids come after all others, and a group of null ids only has a
     null ``keep_id`` and keeps its rows.  Rows that repeat id and text both say
-    ``kept``: nothing tells them apart.  ``slice_bits`` (default: log2 of the
-    shuffle partitions) sets how many tasks share the filters.  A text that a
-    third of all rows share is summed up per task before any shuffle.
+    ``kept``: nothing tells them apart.  ``slice_bits`` sets how many tasks
+    share the filters (default: by the shuffle partitions, and so that one
+    decodes about four million fingerprints).  A text that a third of all rows
+    share is summed up per task before any shuffle.  Only the two named columns
+    are read, so others cannot clash; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     if slice_bits is None:
-        slice_bits = max(2, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+        slices = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() >> 22)
+        slice_bits = math.ceil(math.log2(slices))
     base = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     marked = base.withColumn("fp", F.xxhash64("norm"))
-    repeated = repeated_fingerprints(marked.select("fp"), slice_bits)
+    repeated = SharedStage(spark, "exact").put(repeated_fingerprints(marked.select("fp"), slice_bits).select("fp"), "repeated")
+    if repeated.count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)  # 8 bytes each, counted
     # Byte verification: only rows with a repeated fingerprint, by their whole text.
     groups = (
-        marked.join(repeated.select("fp"), "fp").groupBy("norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        marked.join(repeated, "fp").groupBy("norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1").select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"))
     own = base.select("id", F.sha2("norm", 256).alias("text_sha256"))
     return own.join(groups, "text_sha256", "left").select(

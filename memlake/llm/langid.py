@@ -7,6 +7,8 @@ of its training words) uses a script is no candidate for such a word.  Viterbi
 with a penalty for each change of language then labels all words of a text;
 runs of one label are its spans, and the language with most letters is the
 text's.  Many texts are worked off in step, one word of each at a time.
+Letters of any script count: those outside the table of ranges are told from
+signs by their code points.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import textvec as tv
+from memlake.plans.names import free_names
 
 U64 = np.uint64
 GRAMS = 1 << 15  # slots for trigrams, and as many for words
@@ -44,6 +47,9 @@ SCRIPT = np.zeros(256, np.uint16)
 for _first, _last, _bit in SCRIPT_RANGES:
     SCRIPT[_first : _last + 1] = 1 << _bit
 SCRIPTS = np.uint16(0xFFF)
+#: All other lead bytes: rarer scripts, compatibility forms, and signs.
+OTHER = np.uint16(1 << 13)
+SCRIPT[0xC2:0xF5][SCRIPT[0xC2:0xF5] == 0] = OTHER
 #: Set beside the script's bit for A-Z and a-z.
 PLAIN = np.uint16(1 << 12)
 SCRIPT[0x41:0x5B] |= PLAIN
@@ -82,6 +88,13 @@ def _parts(data: np.ndarray, offsets: np.ndarray, low: int, high: int):
     starts, ends, of_row = tv.tokens(part, offsets[low : high + 1] - offsets[low], tv.ALNUM)
     # Each sum runs on to the next word; what lies between words has no script.
     scripts = np.bitwise_or.reduceat(SCRIPT[part], starts) if len(starts) else np.zeros(0, np.uint16)
+    known: dict[bytes, bool] = {}
+    for i in np.flatnonzero(scripts == OTHER):
+        word = part[starts[i] : ends[i]].tobytes()
+        if word not in known:
+            known[word] = any(c.isalpha() for c in word.decode("utf-8", "replace"))
+        if not known[word]:
+            scripts[i] = 0
     return part, starts, ends, of_row, scripts
 
 
@@ -120,12 +133,14 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", rows_per_lang: int = 4000, max_langs: int = 200) -> Model | None:
     """Learn from about ``rows_per_lang`` labelled rows of each language (all, if it has fewer).
 
-    The sample is chosen by a hash of ``key_col``, so it is the same whatever
-    the layout.  Without labelled rows there is no model (None).
+    The sample is chosen by a hash of ``key_col`` and the text, so it is the
+    same whatever the layout; null and repeated keys are keys as any other.  The
+    model is a dense table of 65,536 numbers a language, so more than
+    ``max_langs`` labels raise.  Without labelled rows there is no model (None).
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
-        F.pmod(F.xxhash64(F.lit(5), F.col(key_col)), F.lit(1 << 20)).alias("h"))
+        F.pmod(F.xxhash64(F.lit(5), F.col(key_col), F.col(text_col).cast("string")), F.lit(1 << 20)).alias("h"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(max_langs + 1).collect()}
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
@@ -197,12 +212,12 @@ def viterbi(scores: np.ndarray, of_row: np.ndarray, penalty: float) -> np.ndarra
     return label
 
 
-def _label(model: Model, penalty: float, spans: bool):
+def _label(model: Model, penalty: float, spans: bool, names: list[str]):
     langs = np.array([*model.langs, "und"], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tv.utf8(batch.column("__text"))
+            data, offsets = tv.utf8(batch.column(len(batch.columns) - 1))
             for low, high in tv.slices(offsets, STEP_BYTES):
                 base = offsets[low]
                 scores, scripts, size, begin, cut = [], [], [], [], [np.zeros(1, np.int64)]
@@ -236,7 +251,7 @@ def _label(model: Model, penalty: float, spans: bool):
                 out = [*[c.slice(low, n) for c in batch.columns[:-1]], pa.array(langs[pred], pa.string()), pa.array(np.clip(score, 0.0, 1.0))]
                 if spans:
                     out.append(_span_column(of_row, label, begin, size, model.langs))
-                yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], "__pred", "__score", *["__spans"] * spans])
+                yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], *names])
 
     return run
 
@@ -261,9 +276,13 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", penal
     """``docs`` with the language of each whole text, its share of the letters (0 to 1) and, if asked, its spans.
 
     A text that is null or has no letter is ``und`` with score 0, as is every
-    text when ``model`` is None (nothing to learn from).  Spans count bytes from
-    the text's first word.  Columns of these names are replaced; all others
-    pass through.
+    text when ``model`` is None (nothing to learn from); letters of any script
+    make a text lettered.  Of languages with equal letters the first in
+    alphabetical order wins.  Each row is judged by its whole text alone, so
+    repeated rows and null ids are as any other; long texts take memory of a few
+    hundred bytes a word.  Spans count bytes from the text's first word.
+    Columns of these names are replaced, all others pass through, whatever
+    their names; an empty table gives an empty result.
     """
     new = [pred_col, score_col, *[spans_col] * spans]
     docs = docs.drop(*new)
@@ -271,7 +290,6 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", penal
     if model is None:
         docs = docs.withColumn(pred_col, F.lit("und")).withColumn(score_col, F.lit(0.0))
         return docs.withColumn(spans_col, F.array().cast(kind)) if spans else docs
-    fed = docs.withColumn("__text", F.col(text_col).cast("string"))
-    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], "`__pred` string", "`__score` double", *[f"`__spans` {kind}"] * spans])
-    out = fed.mapInArrow(_label(model, penalty, spans), shape).withColumnsRenamed({"__pred": pred_col, "__score": score_col})
-    return out.withColumnRenamed("__spans", spans_col) if spans else out
+    (text,) = free_names(docs, "__text")
+    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"`{pred_col}` string", f"`{score_col}` double", *[f"`{spans_col}` {kind}"] * spans])
+    return docs.withColumn(text, F.col(text_col).cast("string")).mapInArrow(_label(model, penalty, spans, new), shape)

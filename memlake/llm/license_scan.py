@@ -104,6 +104,24 @@ TEMPLATES += [
 ]
 TEMPLATES = list(dict.fromkeys(TEMPLATES))  # first places stay; repeats give the same row
 
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_AUTHOR_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_HOLDERS_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: Whole texts of short public licenses, by SPDX identifier; they follow the notices.
+WHOLE_TEXTS = [
+    ("MIT", f"{_MIT}, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this {{permission notice shall be included}} in all copies or substantial portions of the Software. {_AS_IS}"),
+    ("MIT-0", f"{_MIT}, and to permit persons to whom the Software is {{furnished to do so. THE}} {_AS_IS.removeprefix('THE ')}"),
+    ("ISC", f"{TEMPLATES[7][1]}. {_AUTHOR_AS_IS}"),
+    ("0BSD", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee {{is hereby granted. THE SOFTWARE}} {_AUTHOR_AS_IS.removeprefix('THE SOFTWARE ')}"),
+    *[("BSD-2-Clause", f"{_BSD}: {a}{_KEEP}. {b}{_SHOW}. {_HOLDERS_AS_IS}") for a, b in (("", ""), ("1. ", "2. "))],
+    *[("BSD-3-Clause", f"{_BSD}: {a}{_KEEP}. {b}{_SHOW}. {c}{_NAMES}. {_HOLDERS_AS_IS}") for a, b, c in (("", "", ""), ("1. ", "2. ", "3. "))],
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+]
+NOTICES = len(TEMPLATES)
+TEMPLATES += WHOLE_TEXTS
+
 def _hashes(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, of_row = tv.tokens(part, offsets, tv.ALNUM)
     return tv.word_hashes(part, starts, ends), of_row
@@ -132,6 +150,7 @@ class Templates:
                 mark = (short[:, None] * SLOPE + SHIFT).min(axis=0)
             self.groups.setdefault((size, level), []).append((i, own, mark))
             self.telling[i] = self._telling(text, words, of_row, size) if size == 5 else []
+        self.bands = self._bands()
         sets = [(i, own) for (size, _), g in self.groups.items() if size == 5 for i, own, _ in g]
         for i, own in sets:
             self.wider[i] = [j for j, other in sets if len(other) > len(own) and self.names[i] != self.names[j] and np.isin(own, other).mean() >= 0.8]
@@ -150,6 +169,15 @@ class Templates:
             at += count
         return out
 
+    def _bands(self) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """Per group and band: the templates' values in order, and whose they are."""
+        out = {}
+        for key, group in self.groups.items():
+            marks = np.stack([m for _, _, m in group], axis=1)
+            order = np.argsort(marks, axis=1, kind="stable")
+            out[key] = np.take_along_axis(marks, order, axis=1), order
+        return out
+
     def matches(self, words: np.ndarray, of_row: np.ndarray, least: float) -> dict[tuple[int, int], tuple[float, int]]:
         """(row, template) -> (best containment, first word of the window)."""
         spots: dict[tuple[int, int], list[tuple[float, int, int, int]]] = {}
@@ -177,7 +205,7 @@ class Templates:
             row = np.repeat(rows, n)
             first = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             edges.append((cut[row] + first * width, row))
-        hits: dict[int, list[np.ndarray]] = {lv: [] for lv in levels}
+        hits: dict[int, list[np.ndarray]] = {lv: [] for lv in levels}  # window * templates + template
         for j in range(HASHES):
             with np.errstate(over="ignore"):
                 value = short * SLOPE[j] + SHIFT[j]
@@ -189,25 +217,30 @@ class Templates:
                     window = low.copy()
                     same = row[1:] == row[:-1]
                     window[:-1][same] = np.minimum(low[:-1], low[1:])[same]
+                    marks, order = self.bands[size, lv][0][j], self.bands[size, lv][1][j]
                     known = np.zeros(1 << 16, bool)
-                    marks = np.array([m[j] for _, _, m in levels[lv]], U32)
                     known[marks >> U32(16)] = True
                     at = np.flatnonzero(known[window >> U32(16)])
-                    hits[lv].append(at[np.isin(window[at], marks)])
+                    first = np.searchsorted(marks, window[at])
+                    n = np.searchsorted(marks, window[at], side="right") - first
+                    take = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    hits[lv].append(np.repeat(at, n) * len(order) + order[take])
         for lv, group in levels.items():
             begin, row = edges[lv]
-            for w in np.unique(np.concatenate(hits[lv])).tolist():
+            pairs = np.unique(np.concatenate(hits[lv]))
+            last = -1
+            for w, g in zip((pairs // len(group)).tolist(), (pairs % len(group)).tolist()):
                 r = int(row[w])
-                end = min(int(begin[w]) + 2 * (BLOCK << lv), int(cut[r + 1]))
-                part = values[begin[w] : end]
-                window = np.unique(part)
-                for i, own, _ in group:
-                    need = least if size > 2 else 1.0  # one word tells short notices apart
-                    found = float(np.isin(own, window, assume_unique=True).sum() / len(own))
-                    if found >= need and all(np.isin(t, window).any() for t in self.telling[i]):
-                        place = int(begin[w] - cut[r])
-                        held = np.flatnonzero(np.isin(part, own))
-                        spots.setdefault((r, i), []).append((found, place, place + int(held[0]), place + int(held[-1])))
+                if w != last:
+                    part = values[begin[w] : min(int(begin[w]) + 2 * (BLOCK << lv), int(cut[r + 1]))]
+                    window, last = np.unique(part), w
+                i, own, _ = group[g]
+                need = least if size > 2 else 1.0  # one word tells short notices apart
+                found = float(np.isin(own, window, assume_unique=True).sum() / len(own))
+                if found >= need and all(np.isin(t, window).any() for t in self.telling[i]):
+                    place = int(begin[w] - cut[r])
+                    held = np.flatnonzero(np.isin(part, own))
+                    spots.setdefault((r, i), []).append((found, place, place + int(held[0]), place + int(held[-1])))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:

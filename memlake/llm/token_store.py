@@ -11,6 +11,7 @@ Both are Parquet, so any file system that Spark reads will do.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -81,11 +82,28 @@ class _Known(dict):
         return found
 
 
+#: How a tokenizer must cut texts for its words to be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def cuts_as_known(tokenizer_json: str) -> bool:
+    """Whether a tokenizer file normalises and cuts texts as ``WordEncoder`` does."""
+    got = json.loads(tokenizer_json)
+    model = got["model"]
+    return (
+        got["normalizer"] == NORMALIZER and got["pre_tokenizer"] == PRE_TOKENIZER and model["type"] == "BPE" and not model["dropout"]
+        and all(t["content"].startswith("<") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in got["added_tokens"]))
+
+
 class WordEncoder:
     """Encodes texts word by word with a memory of ``memory`` words.
 
-    For a byte-level BPE with word ends that lower-cases and drops white space:
-    a text's ids are its words' ids in turn.  Words of printable ASCII and
+    For a byte-level BPE with word ends that lower-cases and drops white space
+    (``cuts_as_known``; any other tokenizer encodes each text whole): a text's
+    ids are its words' ids in turn.  Words of printable ASCII and
     Latin-1 letters are cut into runs of letters, single digits and other signs,
     as that tokenizer cuts them, and the runs go straight to the library's BPE
     model; all other words go through the whole tokenizer.
@@ -101,6 +119,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.memory, self.words, self.pieces = memory, _Known(self._word), _Known(self._piece)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.by_word = cuts_as_known(self.tokenizer.to_str())
 
     def _piece(self, run: str) -> bytes:
         written = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode("utf-8")))
@@ -116,6 +135,8 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        if not self.by_word:
+            return [np.array(self.tokenizer.encode(t.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         for known in (self.words, self.pieces):
             if len(known) > self.memory:
                 known.clear()
@@ -170,8 +191,9 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_file: str, id_col: s
     """Encode every whole text (null: empty), append ``end_id`` to each, and write the store at ``path``.
 
     Documents stand in ascending id order, null ids first; rows that repeat an
-    id stand side by side, ordered by a hash of their texts.  An empty table
-    makes an empty store.
+    id stand side by side, ordered by a hash of their texts.  A text of any
+    length is one document of one chunk.  Only the two named columns are read,
+    so others cannot clash.  An empty table makes an empty store.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     dealt = base.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
