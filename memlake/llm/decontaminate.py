@@ -241,9 +241,11 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, shingle: int, bloc
     """The benchmark in parts of about ``block_bytes`` of text: ids, texts, shingle counts over all items; number of items."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
     cut = items.mapInArrow(_grams(shingle), "id long, text string, grams array<long>")
-    each = cut.select("id", "text", F.explode("grams").alias("s"))
+    each = cut.withColumn("key", F.sha2("text", 256)).select("id", "key", F.explode("grams").alias("s"))
     counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    known = SharedStage(benchmark.sparkSession, "benchmark").put(each.join(counts, "s").groupBy("id", "text").agg(F.collect_list(F.struct("s", "c")).alias("pairs")), "items")
+    pairs = each.join(counts, "s").groupBy(F.col("id").alias("own"), "key").agg(F.collect_list(F.struct("s", "c")).alias("pairs"))
+    joined = items.join(pairs, F.col("id").eqNullSafe(F.col("own")) & (F.sha2("text", 256) == F.col("key")))
+    known = SharedStage(benchmark.sparkSession, "benchmark").put(joined.select("id", "text", "pairs"), "items")
     total, size = known.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     parts = -(-(size or 0) // block_bytes)
     for p in range(parts):

@@ -3,14 +3,16 @@
 A page becomes a sequence of words and tags.  Words score positive, tags
 negative; words under elements that labelled pages show as boilerplate score as
 much below zero as the labels say.  One linear scan finds the contiguous run of
-highest score, the content region.  The region grows by the whole of
-the content element that holds most of it (an article, a content column), if
-there is one, and gives its blocks without those of boilerplate elements inside.
+highest score, the content region.  Inside the content element that holds most
+of it (an article, a content column), if there is one, the region grows over all
+words of positive score.  Words of boilerplate elements inside the region are
+left out one by one, so a labelled inline element takes only its own words along.
 An element with a boilerplate name that wraps the content is no boilerplate.
 
-Weights are log odds of an element's tag and of the words in its class, id and
-role, counted over ``labelled_pages``: small pages whose words are marked as
-content or not.  ``fit_weights`` takes any other labelled pages too.
+Weights come from ``labelled_pages``, small pages whose words are marked as
+content or not: an element weighs the sum of the log odds of its tag and of the
+words in its class, id and role (``fit_weights``), and a tag costs what finds
+the marked words best (``fit_cost``).  Both take any other labelled pages too.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.plans.names import free_names
+
 PIECES = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|title|noscript|template|svg|iframe|object|textarea|select|canvas|audio|video|annotation|annotation-xml)(?=[\s/>])(?:(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+|[^>]*+)>"
@@ -40,7 +45,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: A new one ends an open one of these.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-TAG_COST = {"inline": -0.05, "block": -0.2}
+#: Costs of a block tag that ``fit_cost`` tries; an inline tag costs a quarter.
+COSTS = (0.1, 0.2, 0.4, 0.6, 0.9, 1.4)
+#: A class such as ``has-sidebar`` or ``modal-open`` tells a state of the page, not what the element is.
+STATES = frozenset("has no not with without is".split())
+STATE_ENDS = frozenset("on off open closed ready enabled disabled".split())
 
 
 def labelled_pages() -> Iterator[tuple[str, str]]:
@@ -63,6 +72,17 @@ def labelled_pages() -> Iterator[tuple[str, str]]:
             yield f'<body><div class="{name}"><p>{noise}</p><ul><li><a>{noise}</a></li></ul></div>{c}<h2>{body}</h2><p>{body}</p><blockquote>{body}</blockquote></{tag}><section id="{name}">{noise}</section></body>', body
 
 
+def unmarked_pages() -> Iterator[tuple[str, str]]:
+    """(html, main text) of pages whose link lists bear no telling tag or name: they teach what a tag costs."""
+    links = "<ul>" + "".join(f"<li><a href=x>{w}</a></li>" for w in "Home News Sport Culture Science Travel Contact".split()) + "</ul>"
+    long = " ".join(["Many words make up a paragraph of the story and go on for a while"] * 3)
+    for head in ("A headline of some words", "Two words"):
+        for middle in (f"<p>{long}</p>", f"<p>Short.</p><p>{long}</p>", f"<ul><li>First of the points</li><li>Second of the points</li></ul><p>{long}</p>"):
+            for wrap in ("div", "section"):
+                text = " ".join(re.sub("<[^>]*>", " ", f"{head} {long} {middle}").split())
+                yield f"<body><{wrap}>{links}</{wrap}><{wrap}><h1>{head}</h1><p>{long}</p>{middle}</{wrap}><{wrap}>{links}</{wrap}></body>", text
+
+
 def _words_of(attrs: str) -> tuple[list[str], bool]:
     """Lower-case words of class, id, role and the like; whether the element is hidden."""
     names, hidden = [], False
@@ -71,7 +91,10 @@ def _words_of(attrs: str) -> tuple[list[str], bool]:
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
         elif key in ("class", "id", "role", "itemprop", "aria-label"):
-            names += [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)]
+            for token in value.split():
+                parts = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", token)]
+                if len(parts) < 2 or parts[0] not in STATES and parts[-1] not in STATE_ENDS:
+                    names += parts
     return names, hidden
 
 
@@ -135,7 +158,7 @@ def fit_weights(pages: Iterable[tuple[str, str]]) -> dict[str, float]:
                 count = inside if what.strip() in gold else outside
                 for feature in {f for _, fs in stack for f in fs}:
                     count[feature] += len(what.split())
-    return {f: max(-4.0, min(3.0, math.log((inside[f] + 1) / (outside[f] + 1)))) for f in {*inside, *outside}}
+    return {f: max(-4.0, min(2.0, math.log((inside[f] + 1) / (outside[f] + 1)))) for f in {*inside, *outside}}
 
 
 class Elements:
@@ -196,38 +219,45 @@ class Elements:
         return self._inherit()
 
 
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Begin and end of the contiguous run of highest sum, the first of equal ones; (0, 0) if no sum is above 0."""
+    best, total, begin, span = 0.0, 0.0, 0, (0, 0)
+    for i, s in enumerate(scores):
+        if total <= 0:
+            total, begin = 0.0, i
+        total += s
+        if total > best:
+            best, span = total, (begin, i + 1)
+    return span
+
+
 class Extractor:
     """Weights ready for use; ``text`` gives a page's main text."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[str, float], cost: float):
         # Tags on both sides of the labels say little: only clear ones count.
         self.weights = {f: w for f, w in weights.items() if abs(w) >= 1.5 and f not in ("<body>", "<div>", "<section>", "<p>", "<ul>", "<li>", "<a>", "<h1>", "<h2>", "<b>", "<blockquote>")}
+        self.block_cost, self.inline_cost = -cost, -cost / 4
 
     def text(self, html: str | None) -> str:
         if not html:
             return ""
         page = Elements()
-        stack: list[tuple[str, int]] = [("", 0)]  # tag, number of the element
-        blocks: list[list] = []  # [parts, element, elements that may hold content]
+        stack: list[tuple[str, int]] = [("", 0)]  # tag, number of the element; one without a name goes by its parent's
+        blocks: list[tuple[list[tuple[str, int]], tuple]] = []  # pieces with their elements; elements that may hold content
         tokens: list[float] = []  # words, or the cost of a tag
         within: list[int] = []  # element of each token's words
         owner: list[int] = []  # block of each token's words, -1 for tags
         fresh = True
-
-        def at_block() -> list:
-            nonlocal fresh
-            if fresh:
-                blocks.append([[], stack[-1][1], tuple(e for _, e in stack if page.holds[e])])
-                fresh = False
-            return blocks[-1]
-
         for kind, what, attrs in _pieces(html):
             if kind == "text":
                 text = unescape(what)
                 words = len(text.split())
                 if words or not fresh:
-                    block = at_block()
-                    block[0].append(text)
+                    if fresh:
+                        blocks.append(([], tuple(dict.fromkeys(e for _, e in stack if page.holds[e]))))
+                        fresh = False
+                    blocks[-1][0].append((text, stack[-1][1]))
                     if words:
                         page.words[stack[-1][1]] += words
                         tokens.append(words)
@@ -237,79 +267,98 @@ class Extractor:
             inline = what in INLINE
             if not inline:
                 fresh = True
-            tokens.append(TAG_COST["inline" if inline else "block"])
+            tokens.append(self.inline_cost if inline else self.block_cost)
             within.append(0)
             owner.append(-1)
             if what in ("br", "td", "th", "img") and not fresh:
-                blocks[-1][0].append(" ")
+                blocks[-1][0].append((" ", stack[-1][1]))
             if kind == "open":
                 if what in VOID:
                     continue
                 names, hidden = _words_of(attrs) if attrs else ((), False)
                 if inline and not names and not hidden:
+                    stack.append((what, stack[-1][1]))
                     continue
                 if not inline:
                     while stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(what, ()):
                         stack.pop()
                 tag_weight = self.weights.get(f"<{what}>", 0.0)
-                own = [w for w in [tag_weight, *[self.weights.get(n, 0.0) for n in names]] if w]
-                low, total = min(own, default=0.0), sum(own)
                 if what == "header" and any(page.article[e] for _, e in stack):
-                    low = 0.0  # an article's own header holds its headline
-                clutter = low < 0 and (total < 0 or low <= -3)
-                mark = (low or -4.0) if hidden or clutter and what not in ("html", "body", "article", "main") else 0.0
+                    tag_weight = 0.0  # an article's own header holds its headline
+                total = tag_weight + sum(self.weights.get(n, 0.0) for n in names)
+                clutter = total < 0
+                mark = min(total, -1.0) if clutter and what not in ("html", "body", "article", "main") else -4.0 if hidden else 0.0
                 stack.append((what, page.add(stack[-1][1], what, mark, total > 0, hidden, clutter, tag_weight < 0)))
-            elif any(tag == what for tag, _ in stack[1:]):
+            else:
+                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == what), 0)
                 # A stray inline end does not close the blocks around it.
-                depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == what)
-                if not inline or depth == len(stack) - 1:
+                if depth and (not inline or all(t in INLINE for t, _ in stack[depth:])):
                     del stack[depth:]
 
         bad = page.boilerplate()
-        scores = [t if b < 0 else t * (bad[e] or 1.0) for t, b, e in zip(tokens, owner, within)]
-        # The contiguous run of highest score.
-        best, start, total, begin, span = 0.0, 0, 0.0, 0, (0, 0)
-        for i, s in enumerate(scores):
-            if total <= 0:
-                total, begin = 0.0, i
-            total += s
-            if total > best:
-                best, span = total, (begin, i + 1)
-        chosen = sorted({b for b in owner[span[0] : span[1]] if b >= 0 and not bad[blocks[b][1]]})
+        low, high = best_run([t if b < 0 else t * (bad[e] or 1.0) for t, b, e in zip(tokens, owner, within)])
+        chosen = sorted({b for b, e in zip(owner[low:high], within[low:high]) if b >= 0 and not bad[e]})
         if not chosen:
             return ""
+        good = ["".join(t for t, e in pieces if not bad[e]).split() for pieces, _ in blocks]
         # The outermost content element that holds most of the region's words.
-        sizes = {b: sum(len(t.split()) for t in blocks[b][0]) for b in chosen}
         held = Counter()
         for b in chosen:
-            for h in blocks[b][2]:
+            for h in blocks[b][1]:
                 if not bad[h]:
-                    held[h] += sizes[b]
-        whole = sum(sizes.values())
+                    held[h] += len(good[b])
+        whole = sum(len(good[b]) for b in chosen)
         wide = [h for h, n in held.items() if 2 * n > whole]
         if wide:
             region = set(chosen)
-            chosen = [i for i, block in enumerate(blocks) if i in region or min(wide) in block[2] and not bad[block[1]]]
-        texts = (" ".join("".join(blocks[b][0]).split()) for b in chosen)
-        return "\n\n".join(t for t in texts if t)
+            chosen = [i for i, (_, holders) in enumerate(blocks) if i in region or min(wide) in holders]
+        return "\n\n".join(" ".join(good[b]) for b in chosen if good[b])
+
+
+def fit_cost(pages: Iterable[tuple[str, str]], weights: dict[str, float]) -> float:
+    """The cost of a block tag that finds the words of labelled pages best (F1), the middle one of the best."""
+    gold = [(html, Counter(text.split())) for html, text in pages]
+
+    def quality(cost: float) -> float:
+        extract, share = Extractor(weights, cost).text, 0.0
+        for html, want in gold:
+            got = Counter(extract(html).split())
+            share += 2 * (got & want).total() / max(1, got.total() + want.total())
+        return round(share / max(1, len(gold)), 6)
+
+    found = {c: quality(c) for c in COSTS}
+    best = [c for c in COSTS if found[c] == max(found.values())]
+    return best[len(best) // 2]
+
+
+@cache
+def learned() -> tuple[dict[str, float], float]:
+    """Weights and cost from the labelled pages of this module."""
+    weights = fit_weights(labelled_pages())
+    return weights, fit_cost(unmarked_pages(), weights)
 
 
-def main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
+def main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text", weights: dict[str, float] | None = None, cost: float | None = None) -> DataFrame:
     """``pages`` with the main text of each whole page in ``text_col`` (replaced if there).
 
     Null and empty pages, and pages without content words, give an empty text.
-    All other columns pass through; nothing is shuffled.
+    Of equally good regions the first counts.  Each row is read by itself, so
+    repeated pages and null ids are as any other; a page of any length is read
+    whole, in time in proportion to its length.  All other columns pass through,
+    whatever their names; an empty table gives an empty result.  Nothing is
+    shuffled.
     """
-    learned = weights if weights is not None else fit_weights(labelled_pages())
+    found, fitted = learned()
+    ready = found if weights is None else weights, fitted if cost is None else cost
     pages = pages.drop(text_col) if text_col != html_col else pages
-    fed = pages.withColumn("__html", F.col(html_col).cast("string"))
+    read, made = free_names(pages, "__html", "__main")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extract = Extractor(learned).text
+        extract = Extractor(*ready).text
         for batch in batches:
-            found = pa.array([extract(h) for h in batch.column("__html").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], "__main"])
+            texts = pa.array([extract(h) for h in batch.column(len(batch.columns) - 1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*batch.schema.names[:-1], made])
 
-    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields], "`__main` string"])
-    out = fed.mapInArrow(run, shape)
-    return (out.drop(text_col) if text_col == html_col else out).withColumnRenamed("__main", text_col)
+    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields], f"`{made}` string"])
+    out = pages.withColumn(read, F.col(html_col).cast("string")).mapInArrow(run, shape)
+    return (out.drop(text_col) if text_col == html_col else out).withColumnRenamed(made, text_col)

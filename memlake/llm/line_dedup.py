@@ -82,7 +82,8 @@ def drop_recurring_lines(
     t1, t2, lost, parts = free_names(docs, "__t1", "__t2", "__lost", "__parts")
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     known = [F.xxhash64(body), F.xxhash64(F.lit(7), body)]
-    cut = docs.select(known[0].alias("t1"), known[1].alias("t2"), F.posexplode(F.split(body, "\n")).alias("pos", "line"))
+    # Hashes and lines first: an explode copies what stands beside it to each of its rows.
+    cut = docs.select(known[0].alias("t1"), known[1].alias("t2"), F.split(body, "\n").alias("cut")).select("t1", "t2", F.posexplode("cut").alias("pos", "line"))
     parsed = cut.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("tokens", _tokens(F.col("line")))
     flat, n = F.array_join("tokens", " "), F.size("tokens")
     many = n >= long_tokens
@@ -99,10 +100,11 @@ def drop_recurring_lines(
     rest = told.where("settled IS NULL").select("t1", "t2", "pos", F.explode(F.array_compact(F.array("front", "back"))).alias("leaf"))
     open_lines = rest.join(_recurring(rest, ["leaf"], min_docs), "leaf")
     asked = open_lines.groupBy("t1", "t2").agg(F.collect_set(F.struct("pos", "leaf")).alias("asked"))
+    picked = F.transform("asked", lambda p: F.struct(p["pos"].alias("pos"), p["leaf"].alias("leaf"), F.element_at("cut", p["pos"] + 1).alias("line")))
     again = (
         docs.select(known[0].alias("t1"), known[1].alias("t2"), body.alias("body")).join(asked, ["t1", "t2"])
-        .withColumn("cut", F.split("body", "\n")).select("t1", "t2", "cut", F.explode("asked").alias("p"))
-        .select("t1", "t2", F.col("p.pos").alias("pos"), F.col("p.leaf").alias("leaf"), _tokens(F.element_at("cut", F.col("p.pos") + 1)).alias("tokens")))
+        .withColumn("cut", F.split("body", "\n")).select("t1", "t2", picked.alias("picked")).select("t1", "t2", F.explode("picked").alias("p"))
+        .select("t1", "t2", "p.pos", "p.leaf", _tokens(F.col("p.line")).alias("tokens")))
     # Equal texts give equal rows: one of them counts.
     fields = stage.put(again.select("t1", "t2", "pos", "leaf", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")).distinct(), "fields")
     each = fields.select("t1", "t2", "pos", "leaf", F.posexplode("tokens").alias("i", "token"))
