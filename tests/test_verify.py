@@ -75,10 +75,13 @@ def test_existing_state_and_scorer(spark):
     assert moved[0]["claim_key"] != r["claim_key"] and moved[0]["evidence_key"] == r["evidence_key"] and moved[1]["evidence_key"] != r["evidence_key"]
 
 
-def test_protected_tokens():
-    assert ve.protected("Deploy v2.1 at 10:30 on March 3. Bob saw max_conns hit 25 GB, not 40%, says Ann.") == [
-        "times:10:30", "dates:March 3", "versions:v2.1", "identifiers:max_conns", "units:25 GB", "units:40%", "names:Ann"]
-    assert ve.protected("") == [] and ve.anchors("The API and Redis, Redis") == ["api", "redis", "redis"]
+def test_protected_tokens(spark):
+    texts = ["Deploy v2.1 at 10:30 on March 3. Bob saw max_conns hit 25 GB, not 40%, says Ann.", "", "The API and Redis, Redis", None, "with \x01a:odd\x02 marks"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", ve.lexis("t").alias("l")).orderBy("i")
+    rows = [r["l"] for r in df.collect()]
+    assert rows[0]["protected"] == ["times:10:30", "dates:March 3", "versions:v2.1", "identifiers:max_conns", "units:25 GB", "units:40%", "names:Ann"]
+    assert rows[1]["protected"] == [] and rows[2]["anchors"] == ["api", "redis", "redis"] and rows[3]["clauses"] == []
+    assert rows[4]["anchors"] == ["odd", "marks"]
 
 
 def test_prompt_signals(spark):
