@@ -18,6 +18,7 @@ TITLE_STOPWORDS = (
     "why but not all any some more less than into out about session turn user assistant").split()
 #: Suffixes in the order tried.
 SUFFIXES = ["ations", "ation", "ings", "ing", "ers", "er", "ors", "or", "ions", "ion", "ed", "es", "s"]
+#: Words that make a query a question, and phrases that ask for what is new, was once, or holds now.
 QUESTION_WORDS = ["what", "how", "why", "which", "where", "when", "who", "does", "is", "can"]
 FRESH = (r"(?i)\b(recent|recently|latest|newest|current|currently|now|today|tonight|yesterday|just now|lately|updated|newly|most recent"
          r"|this (week|month|year|morning|afternoon|evening)|in the last \w+|for the last \w+)\b")
@@ -60,9 +61,8 @@ def strings(values: list[str]) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """keyword tokens, repeats kept; no stop words, none of one character."""
-    cleaned = F.regexp_replace(F.lower(text), r"[#*`\[\](){}|>~_]", " ")
-    found = F.regexp_extract_all(cleaned, F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)*"), F.lit(0))
+    """keyword tokens, repeats kept; no stop words, none of one character.  Markup ends a token as any other sign does."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)*"), F.lit(0))
     return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))
 
 
@@ -116,6 +116,34 @@ def typed_wikilinks(text: Column) -> Column:
     return F.filter(made, lambda x: x["target"] != "")
 
 
+def extract_salient(q: Column) -> Column:
+    """struct of ``names``, ``phrases`` and ``numerals`` of a query, each lower case, sorted, without repeats.
+
+    A name is a capitalised word of three letters or more that opens no
+    sentence, or a word with a capital inside; a phrase stands in double quotes,
+    or in single ones if it has a space; a numeral has up to four digits.
+    """
+    q = F.coalesce(q, F.lit(""))
+    tidy = lambda found: F.transform(found, lambda t: F.lower(F.trim(t)))
+    double = F.filter(tidy(F.regexp_extract_all(q, F.lit(r'"([^"]{2,60})"'), F.lit(1))), lambda t: t != "")
+    single = F.filter(tidy(F.regexp_extract_all(q, F.lit(r"'([^']{2,60})'"), F.lit(1))), lambda t: F.contains(t, F.lit(" ")))
+    bare = lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    raw = F.filter(F.split(q, r"\s+"), lambda t: (bare(t) != "") | t.rlike(r"[.?!]$"))
+    opens = F.transform(raw, lambda t, i: (i == 0) | F.coalesce(F.get(raw, i - 1).rlike(r"[.?!]$"), F.lit(False)))
+    words = F.arrays_zip(F.transform(raw, bare).alias("word"), opens.alias("opens"))
+    inside, capital = lambda w: w["word"].rlike(r"^\p{L}*\p{Ll}\p{Lu}\p{L}*$"), lambda w: w["word"].rlike(r"^\p{Lu}\p{Ll}{2,}$") & ~w["opens"]
+    names = F.transform(F.filter(words, lambda w: inside(w) | capital(w)), lambda w: F.lower(w["word"]))
+    names = F.filter(names, lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS))
+    numerals = F.regexp_extract_all(q, F.lit(r"\b\d{1,4}\b"), F.lit(0))
+    done = lambda a: F.array_sort(F.array_distinct(a))
+    return F.struct(done(names).alias("names"), done(F.concat(double, single)).alias("phrases"), done(numerals).alias("numerals"))
+
+
+def ce_probability(logit: Column) -> Column:
+    """the logistic of a re-ranker's score."""
+    return 1.0 / (1.0 + F.exp(-logit))
+
+
 def classify_query(q: Column) -> Column:
     """F16: keyword, natural or mixed."""
     words = F.filter(F.split(q, r"\s+"), lambda w: w != "")

@@ -1,4 +1,4 @@
-"""Keyword retrieval over an inverted index."""
+"""Keyword retrieval over a stored index."""
 
 from __future__ import annotations
 
@@ -6,20 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import tokenize
+from memlake.plans.shared import SharedStage
 
 
-def index_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, doc_len, term, tf)``; documents without tokens have no rows."""
-    tokens = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("tokens"))
-    return (
-        tokens.select("id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-        .groupBy("id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf")))
+class KeywordIndex:
+    """The tokens of each document, worked out once and stored: ``id``, ``doc_len``, ``terms`` (repeats kept).
 
+    Documents without tokens have no row.  All keyword operators take an index;
+    build it anew when the documents change.
+    """
+
+    def __init__(self, stored: DataFrame):
+        self.stored = stored
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> KeywordIndex:
+        tokens = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("terms"))
+        return cls(SharedStage(docs.sparkSession, "keywords").put(tokens.where(F.size("terms") > 0).select("id", F.size("terms").alias("doc_len"), "terms"), "terms"))
+
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """``(id, doc_len, term, tf)``, of the given ``term`` values only, or of all; the table shrinks before it is counted."""
+        each = self.stored.select("id", "doc_len", F.explode("terms").alias("term"))
+        if terms is not None:
+            each = each.join(terms.select("term").distinct(), "term", "left_semi")
+        return each.groupBy("id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
-def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: number of documents with tokens and their mean length."""
-    sizes = docs.select(F.size(tokenize(F.col(text_col))).alias("n")).where("n > 0")
-    return sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl"))
+    def stats(self) -> DataFrame:
+        """One row: number of documents and their mean length."""
+        return self.stored.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avgdl"))
 
 
 def okapi_idf(n: Column, df: Column) -> Column:
@@ -28,33 +42,31 @@ def okapi_idf(n: Column, df: Column) -> Column:
     return F.when(raw < 0, raw * 0.25).otherwise(raw)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "q", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, index: KeywordIndex, k: int, query_id: str = "query_id", query_text: str = "q", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``(query_id, id, score, rank)``: the top ``k`` of each query above a tenth of its best score.
 
     Only postings of query terms meet the queries; a repeated query term counts
     each time.  Ranks end in the id.
     """
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    postings = index_terms(docs, id_col, text_col).join(terms.select("term").distinct(), "term", "left_semi")
+    postings = index.postings(terms)
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs, text_col)
+    stats = index.stats()
     n, avgdl = stats.select(F.col("n_docs").cast("double")).scalar(), stats.select("avgdl").scalar()
-    weighted = df.withColumn("idf", okapi_idf(n, F.col("df"))).select("term", "idf")
-    scored = (
-        postings.join(weighted, "term")
-        .withColumn("w", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avgdl)))
-        .join(terms, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score")).where("score <> 0"))
+    weighted = terms.join(df, "term").select("query_id", "term", (okapi_idf(n, F.col("df")) * F.col("qtf")).alias("weight"))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avgdl))
+    scored = postings.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score <> 0")
     best = F.max("score").over(Window.partitionBy("query_id"))
     kept = scored.withColumn("best", best).where((F.col("best") <= 0) | (F.col("score") > 0.1 * F.col("best")))
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
-def query_signal(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "q") -> DataFrame:
+def query_signal(queries: DataFrame, index: KeywordIndex, query_id: str = "query_id", query_text: str = "q") -> DataFrame:
     """Per query token its document frequency and idf (with + 1 inside the log), and the query's best idf."""
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokenize(F.col(query_text)))).alias("term"))
-    df = index_terms(docs, id_col, text_col).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = corpus_stats(docs, text_col).select(F.col("n_docs").cast("double")).scalar()
+    df = index.postings(terms).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = index.stats().select(F.col("n_docs").cast("double")).scalar()
     out = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     out = out.withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     return out.withColumn("max_idf", F.max("idf").over(Window.partitionBy("query_id")))

@@ -42,14 +42,15 @@ def graph_channel(asked: DataFrame, mentions: DataFrame, links: DataFrame, live:
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "id"))).where(F.col("rank") <= limit)
 
 
-def assemble_hits(scored: DataFrame, channels: DataFrame, notes: DataFrame, k: int) -> DataFrame:
+def assemble_hits(scored: DataFrame, channels: DataFrame, notes: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """The ``k`` best of (query_id, id, score, ce_prob, via_spread) with their notes' columns and reasons.
 
+    ``by`` names a column that orders them instead of the score.
     ``channels`` has (query_id, id, channel, rank, sim), channel being semantic,
     keyword or graph, one row each.  Of notes, the columns confidence, filename
     and agent_id are carried; an empty agent becomes null.
     """
-    top = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).where(F.col("place") <= k)
+    top = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*([by] if by else []), F.col("score").desc(), "id"))).where(F.col("place") <= k)
     of = lambda c, v: F.max(F.when(F.col("channel") == c, F.col(v)))
     ranks = channels.groupBy("query_id", "id").agg(of("semantic", "rank").alias("__s"), of("semantic", "sim").alias("__m"), of("keyword", "rank").alias("__k"), of("graph", "rank").alias("__g"))
     out = top.join(ranks, ["query_id", "id"], "left").join(notes.select("id", "confidence", "filename", "agent_id"), "id", "left")

@@ -40,9 +40,12 @@ def title_boost(queries: DataFrame, notes: DataFrame, least: float = 0.4) -> Dat
     return hits.withColumn("coverage", coverage).where(F.col("coverage") >= least).select("query_id", "id", "overlap", "coverage", (0.30 * (0.4 + 0.6 * F.col("coverage"))).alias("boost"))
 
 
-def recency_factor(candidates: DataFrame, intent: str, now: Column, updated: str = "updated_at") -> DataFrame:
-    """Adds ``recency_factor``: linear in the rank by time, times a decay per day of age."""
-    newest, oldest, decay = RECENCY[intent]
+def recency_factor(candidates: DataFrame, intent: str | Column, now: Column, updated: str = "updated_at") -> DataFrame:
+    """Adds ``recency_factor``: linear in the rank by time, times a decay per day of age; ``intent`` is a word or a column."""
+    if isinstance(intent, str):
+        newest, oldest, decay = RECENCY[intent]
+    else:
+        newest, oldest, decay = (F.coalesce(*[F.when(intent == name, v[i]) for name, v in RECENCY.items()]) for i in range(3))
     w = Window.partitionBy("query_id")
     place = F.row_number().over(w.orderBy(F.col(updated).desc(), "id")) - 1
     n = F.count(F.lit(1)).over(w)

@@ -45,6 +45,13 @@ class SharedStage:
         out.shared_path = where
         return out
 
+    @staticmethod
+    def stands(df: DataFrame) -> bool:
+        """Whether a table of ``put`` is still in the shared folder."""
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{df.shared_path}/_SUCCESS")
+        return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table of ``put`` that nothing reads any more."""
         where = getattr(df, "shared_path", None)

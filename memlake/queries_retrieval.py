@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.text import STOPWORDS, TITLE_STOPWORDS, classify_query, temporal_intent, title_tokens, tokenize
+from memlake.functions.text import FRESH, HISTORICAL, STOPWORDS, TITLE_STOPWORDS, classify_query, extract_salient, temporal_intent
 from memlake.operators import bm25 as kw
 from memlake.operators import fusion as fu
+from memlake.operators import recall as rc
 from memlake.operators import vector as ve
+from memlake.plans.shared import SharedStage
 from memlake.registry import register, table
 
 QUERIES: dict = {}
@@ -29,6 +31,17 @@ def _batch(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
 
 
+_indexes: dict = {}
+
+
+def _index(spark, sf_dir: str) -> kw.KeywordIndex:
+    """The stored keyword index of the documents, built once per session and folder while its table stands."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes or not SharedStage.stands(_indexes[key].stored):
+        _indexes[key] = kw.KeywordIndex.build(table(spark, sf_dir, "documents"))
+    return _indexes[key]
+
+
 BM25_CTE = f"""
 d AS (SELECT doc_id, {_tok('text')} AS t FROM documents),
 nd AS (SELECT doc_id, t, len(t) AS dl FROM d WHERE len(t) > 0),
@@ -48,7 +61,7 @@ ITEMS = "qs AS (SELECT item_id AS query_id, text AS q FROM benchmark)"
 @query(f"WITH {ITEMS}, {BM25_CTE} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM bm WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
     """R2: ten best documents for every benchmark item as a query."""
-    hits = kw.bm25(_batch(spark, sf_dir), table(spark, sf_dir, "documents"), 10)
+    hits = kw.bm25(_batch(spark, sf_dir), _index(spark, sf_dir), 10)
     return hits.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -57,7 +70,7 @@ x AS (SELECT query_id, term, coalesce(df, 0) AS df, ln((n - coalesce(df, 0) + .5
 SELECT query_id, term, df, round(idf, 6) AS idf, round(max(idf) OVER (PARTITION BY query_id), 6) AS max_idf FROM x""")
 def query_signal_idf(spark, sf_dir):
     """R27."""
-    out = kw.query_signal(_batch(spark, sf_dir), table(spark, sf_dir, "documents"))
+    out = kw.query_signal(_batch(spark, sf_dir), _index(spark, sf_dir))
     return out.select("query_id", "term", "df", F.round("idf", 6).alias("idf"), F.round("max_idf", 6).alias("max_idf"))
 
 
@@ -65,7 +78,7 @@ def query_signal_idf(spark, sf_dir):
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term""")
 def token_stats(spark, sf_dir):
     """A1: document and corpus frequency of every term."""
-    terms = kw.index_terms(table(spark, sf_dir, "documents"), "doc_id", "text")
+    terms = _index(spark, sf_dir).postings()
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -125,23 +138,22 @@ def semantic_links_topk(spark, sf_dir):
     return links.select("src", "dst", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-def _doc_queries(spark, sf_dir) -> DataFrame:
-    """Documents with a vector and an id divisible by 20: their first eight words are the query."""
-    docs = table(spark, sf_dir, "documents").join(_asked(spark, sf_dir), F.col("doc_id") == F.col("query_id"))
-    return docs.select("query_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("q"), "embedding")
+def _item_queries(spark, sf_dir) -> DataFrame:
+    """Benchmark items as whole queries; the vector of the same number stands for an item's embedding, items without one have none."""
+    vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
+    return _batch(spark, sf_dir).join(vectors, "query_id", "left")
 
 
-DOC_QS = "qs AS (SELECT doc_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS q FROM documents JOIN embeddings ON doc_id = vec_id WHERE doc_id % 20 = 0)"
-FUSE_CTE = f"""{DOC_QS}, {BM25_CTE}, {KNN_CTE},
-kn AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS rank
-       FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.e, v.e) AS sim FROM v q JOIN v ON q.vec_id % 20 = 0 WHERE q.vec_id IN (SELECT query_id FROM qs))),
+FUSE_CTE = f"""{ITEMS}, {BM25_CTE}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+kn AS (SELECT query_id, id, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS rank
+       FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.e, v.e) AS sim FROM v q JOIN qs ON qs.query_id = q.vec_id, v)),
 fz AS (SELECT query_id, id, sum(s) AS score FROM (SELECT query_id, id, .45 / (60 + rank) AS s FROM kn WHERE rank <= 60
        UNION ALL SELECT query_id, doc_id, .35 / (60 + rank) FROM bm WHERE rank <= 60) GROUP BY ALL)"""
 
 
 def _fused(spark, sf_dir, pool: int = 60) -> DataFrame:
-    asked = _doc_queries(spark, sf_dir)
-    words = kw.bm25(asked, table(spark, sf_dir, "documents"), pool)
+    asked = _item_queries(spark, sf_dir)
+    words = kw.bm25(asked, _index(spark, sf_dir), pool)
     vectors = ve.knn(asked, _vectors(spark, sf_dir), pool)
     semantic, keyword, _ = fu.CHANNEL_WEIGHTS["mixed"]
     return fu.rrf([(vectors, F.lit(semantic)), (words, F.lit(keyword))])
@@ -154,27 +166,12 @@ def rrf_fuse_two_channels(spark, sf_dir):
     return fu.pool_cut(_fused(spark, sf_dir), 20).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
 
-@query(f"""WITH {FUSE_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fz),
-lb AS (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY doc_id),
-m AS (SELECT r.query_id, r.id, round((0.75 * r.score + 0.15 * 1.0) * 1.0 + CASE WHEN lb.quality = 1 THEN 0.06 ELSE 0.0 END, 4) AS final_score
-      FROM r JOIN documents d ON d.doc_id = r.id LEFT JOIN lb ON lb.doc_id = r.id WHERE r.rank <= 60 AND coalesce(lb.toxic, 0) = 0)
-SELECT query_id, id, final_score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank FROM m) WHERE rank <= 10""")
-def hybrid_recall_core(spark, sf_dir):
-    """Fuse, cut the pool, then filter (after the cut), score and rank."""
-    pool = fu.pool_cut(_fused(spark, sf_dir), 60).drop("rank")
-    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
-    seen = pool.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id").join(labels, "id", "left").where(F.coalesce("toxic", F.lit(0)) == 0)
-    scored = seen.withColumn("final_score", fu.final_score(F.col("score"), F.lit(1.0), F.lit(1.0), F.coalesce(F.col("quality") == 1, F.lit(False))))
-    order = Window.partitionBy("query_id").orderBy(F.col("final_score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("query_id", "id", "final_score", "rank")
-
-
-TITLE = "array_to_string(string_split(text, ' ')[1:6], ' ')"
+TITLE = "string_split(text, chr(10))[1]"
 
 
 def _titles(spark, sf_dir) -> DataFrame:
-    """Documents as notes: the first six words stand as the title."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("title"), "text")
+    """Documents as notes: the first line stands as the title."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.element_at(F.split("text", "\n"), 1).alias("title"), "text")
 
 
 @query(f"""WITH {ITEMS}, q AS (SELECT query_id, list_distinct({_tok('q')}) AS qt FROM qs), n AS (SELECT doc_id AS id, list_distinct({_tok(TITLE)}) AS tt FROM documents),
@@ -187,19 +184,54 @@ def title_keyword_boost(spark, sf_dir):
     return out.select("query_id", "id", "overlap", F.round("coverage", 6).alias("coverage"), F.round("boost", 6).alias("boost"))
 
 
-@query(f"""WITH {ITEMS}, {BM25_CTE}, q AS (SELECT item_id AS query_id, lower(string_split(text, ' ')[3]) AS w, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS phrase FROM benchmark),
-hx AS (SELECT query_id, doc_id AS id, lower(text) AS hay FROM bm JOIN documents USING (doc_id) WHERE rank <= 50)
-SELECT query_id, id, ((CASE WHEN contains(hay, phrase) THEN 0.20 ELSE 0.0 END) + (CASE WHEN list_contains(string_split_regex(hay, '[^\\p{{L}}\\p{{N}}]+'), w) THEN 0.15 ELSE 0.0 END))::DOUBLE AS boost
-FROM hx JOIN q USING (query_id)""")
+BARE = "regexp_replace({0}, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
+SALIENT_CTE = f"""
+ra AS (SELECT query_id, q, list_filter(string_split_regex(q, '\\s+'), lambda t: {BARE.format('t')} <> '' OR regexp_matches(t, '[.?!]$')) AS raw FROM qs),
+sl AS (SELECT query_id, list_sort(list_distinct(list_filter(list_transform(raw, lambda t, i: CASE WHEN regexp_matches({BARE.format('t')}, '^\\p{{L}}*\\p{{Ll}}\\p{{Lu}}\\p{{L}}*$')
+         OR (regexp_matches({BARE.format('t')}, '^\\p{{Lu}}\\p{{Ll}}{{2,}}$') AND i > 1 AND NOT regexp_matches(raw[i - 1], '[.?!]$')) THEN lower({BARE.format('t')}) END),
+         lambda w: w IS NOT NULL AND length(w) >= 3 AND NOT list_contains([{_STOP}], w)))) AS names,
+       list_sort(list_distinct(list_concat(list_filter(list_transform(regexp_extract_all(q, '"([^"]{{2,60}})"', 1), lambda p: lower(trim(p))), lambda p: p <> ''),
+         list_filter(list_transform(regexp_extract_all(q, '\\x27([^\\x27]{{2,60}})\\x27', 1), lambda p: lower(trim(p))), lambda p: contains(p, ' '))))) AS phrases,
+       list_sort(list_distinct(regexp_extract_all(q, '\\b\\d{{1,4}}\\b'))) AS numerals FROM ra)"""
+
+
+def _hits_in(names: str, words: str) -> str:
+    return f"(CASE WHEN len({names}) > 0 THEN 0.15 * len(list_intersect(list_distinct({words}), {names})) / len({names}) ELSE 0.0 END)"
+
+
+def _exact_sql(pool: str) -> str:
+    """R8 over a relation (query_id, id) of the pool and notes ``nt`` (id, title, content)."""
+    return f"""hx AS (SELECT query_id, id, names, phrases, numerals, lower(concat_ws(chr(10), coalesce(title, ''), coalesce(content, ''))) AS hay FROM {pool} JOIN nt USING (id) JOIN sl USING (query_id)),
+hw AS (SELECT *, string_split_regex(hay, '[^\\p{{L}}\\p{{N}}]+') AS words FROM hx),
+eb AS (SELECT query_id, id, boost FROM (SELECT query_id, id, (CASE WHEN len(list_filter(phrases, lambda p: contains(hay, p))) > 0 THEN 0.20 ELSE 0.0 END) + {_hits_in('names', 'words')} + {_hits_in('numerals', 'words')} AS boost FROM hw) WHERE boost > 0)"""
+
+
+#: Items with a phrase of theirs in quotes, a word with a capital and a numeral at their end.
+NAMED = """qs AS (SELECT query_id, concat_ws(' ', q, '"' || w[2] || ' ' || w[3] || '"', 'of', upper(w[5][1:1]) || lower(w[5][2:]), '12') AS q
+FROM (SELECT item_id AS query_id, text AS q, string_split(text, ' ') AS w FROM benchmark))"""
+
+
+def _named_queries(spark, sf_dir) -> DataFrame:
+    w = lambda i: F.element_at(F.split("q", " "), i)
+    name = F.concat(F.upper(F.left(w(5), F.lit(1))), F.lower(F.substr(w(5), F.lit(2))))
+    phrase = F.concat(F.lit('"'), w(2), F.lit(" "), w(3), F.lit('"'))
+    return _batch(spark, sf_dir).select("query_id", F.concat_ws(" ", "q", phrase, F.lit("of"), name, F.lit("12")).alias("q"))
+
+
+@query(f"WITH {NAMED}, {SALIENT_CTE} SELECT query_id, array_to_string(names, '|') AS names, array_to_string(phrases, '|') AS phrases, array_to_string(numerals, '|') AS numerals FROM sl")
+def salient_terms(spark, sf_dir):
+    """names, quoted phrases and numerals of each query."""
+    found = _named_queries(spark, sf_dir).select("query_id", extract_salient(F.col("q")).alias("s"))
+    return found.select("query_id", *[F.array_join(F.col("s")[c], "|").alias(c) for c in ("names", "phrases", "numerals")])
+
+
+@query(f"""WITH {NAMED}, {BM25_CTE}, {SALIENT_CTE}, nt AS (SELECT doc_id AS id, {TITLE} AS title, text AS content FROM documents), pl AS (SELECT query_id, doc_id AS id FROM bm WHERE rank <= 50), {_exact_sql('pl')}
+SELECT query_id, id, round(boost, 6) AS boost FROM eb""")
 def exact_match_boost(spark, sf_dir):
-    """A phrase and a salient word, looked for in each query's pool."""
-    asked = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.lower(F.element_at(F.split("text", " "), 3)).alias("w"), F.lower(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")).alias("phrase"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("hay"))
-    pool = kw.bm25(_batch(spark, sf_dir), table(spark, sf_dir, "documents"), 50).select("query_id", "id").join(docs, "id").join(asked, "query_id")
-    words = F.split("hay", r"[^\p{L}\p{N}]+")
-    boost = F.when(F.contains("hay", "phrase"), 0.20).otherwise(0.0) + F.when(F.array_contains(words, F.col("w")), 0.15).otherwise(0.0)
-    return pool.select("query_id", "id", F.round(boost, 6).alias("boost"))
+    """Names, quoted phrases and numerals of each query, looked for in its pool."""
+    asked = _named_queries(spark, sf_dir)
+    pool = kw.bm25(asked, _index(spark, sf_dir), 50)
+    return rc.exact_boost(asked, pool, _titles(spark, sf_dir).withColumnRenamed("text", "content")).select("query_id", "id", F.round("boost", 6).alias("boost"))
 
 
 NOW = "2024-03-01 00:00:00"
@@ -257,7 +289,7 @@ def multi_query_rrf(spark, sf_dir):
     words = F.split("text", " ")
     asked = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"), F.explode(F.array(F.lit(0), F.lit(1))).alias("x"))
     asked = asked.select((F.col("item_id") * 2 + F.col("x")).alias("query_id"), F.array_join(F.slice("w", F.col("x") * 6 + 1, F.lit(6)), " ").alias("q"))
-    hits = kw.bm25(asked, table(spark, sf_dir, "documents"), 20).withColumn("query_id", F.floor(F.col("query_id") / 2))
+    hits = kw.bm25(asked, _index(spark, sf_dir), 20).withColumn("query_id", F.floor(F.col("query_id") / 2))
     return fu.rrf([(hits, F.lit(1.0))]).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
@@ -266,7 +298,7 @@ s AS (SELECT *, count(*) OVER w AS n, stddev_samp(score) OVER w AS sd, avg(score
 SELECT query_id, id, brain, round(CASE WHEN n < 2 OR sd < 1e-12 THEN 0.0 ELSE (score - mu) / sd END, 5) AS z FROM s""")
 def cross_brain_zscore(spark, sf_dir):
     """Sources stand as brains."""
-    hits = kw.bm25(_batch(spark, sf_dir), table(spark, sf_dir, "documents"), 50)
+    hits = kw.bm25(_batch(spark, sf_dir), _index(spark, sf_dir), 50)
     brains = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("brain"))
     return fu.zscore_merge(hits.join(brains, "id")).select("query_id", "id", "brain", F.round("z", 5).alias("z"))
 
@@ -327,3 +359,50 @@ def abstention_sweep(spark, sf_dir):
 
     tops = ve.knn(_asked(spark, sf_dir), _vectors(spark, sf_dir), 1, skip_self=True)
     return abstention_threshold(tops.select(F.col("similarity").alias("top"), (F.col("query_id") % 3 == 0).alias("is_abs")))
+
+
+_SHAPE = """(SELECT query_id, CASE WHEN len(w) <= 4 AND NOT asks THEN 'keyword' WHEN asks AND len(w) > 6 THEN 'natural' ELSE 'mixed' END AS shape FROM (SELECT query_id, w,
+len(list_intersect(list_transform(w[1:3], lambda x: lower(x)), ['what', 'how', 'why', 'which', 'where', 'when', 'who', 'does', 'is', 'can'])) > 0 AS asks FROM (SELECT query_id, list_filter(string_split_regex(q, '\\s+'), lambda w: w <> '') AS w FROM qs)))"""
+_W = "CASE shape WHEN 'keyword' THEN {0} WHEN 'natural' THEN {1} ELSE {2} END"
+
+
+def _recall_notes(spark, sf_dir) -> DataFrame:
+    """Documents as notes: toxic ones are dormant, good ones insights, dates and strengths follow the ids."""
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    made, i = _titles(spark, sf_dir).withColumnRenamed("text", "content").join(labels, "id", "left"), F.col("id")
+    day = F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 60 as int))")
+    return made.select(
+        "id", "title", "content", F.when(F.col("quality") == 1, "insight").otherwise("note").alias("kind"), F.when(F.col("toxic") == 1, "dormant").otherwise("active").alias("state"),
+        F.lit(None).cast("long").alias("superseded_by"), ((i % 10) / 10).alias("strength"), day.alias("created_at"), day.alias("updated_at"), F.concat(F.lit("n/"), i.cast("string")).alias("filename"),
+        F.lit(None).cast("string").alias("agent_id"), F.lit(0.9).alias("confidence"))
+
+
+@query(f"""WITH {ITEMS}, {BM25_CTE}, {SALIENT_CTE},
+lb AS (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY doc_id),
+nt AS (SELECT d.doc_id AS id, {TITLE} AS title, text AS content, coalesce(quality = 1, false) AS insight, (d.doc_id % 10) / 10 AS strength, TIMESTAMP '2024-01-01' + to_days((d.doc_id % 60)::INT) AS u
+       FROM documents d LEFT JOIN lb ON lb.doc_id = d.doc_id WHERE coalesce(toxic, 0) <> 1),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+aw AS (SELECT s.query_id, v.e AS e, {_W.format('.30', '.55', '.45')} AS ws, {_W.format('.50', '.25', '.35')} AS wk FROM {_SHAPE} s LEFT JOIN v ON v.vec_id = s.query_id),
+kn AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS rank FROM (SELECT query_id, v.vec_id AS id, list_cosine_similarity(aw.e, v.e) AS sim FROM aw, v JOIN nt ON nt.id = v.vec_id WHERE aw.e IS NOT NULL)),
+fz AS (SELECT query_id, id, sum(s) AS score FROM (SELECT query_id, id, ws / (60 + rank) AS s FROM kn JOIN aw USING (query_id) WHERE rank <= 60
+       UNION ALL SELECT query_id, doc_id, wk * (CASE WHEN e IS NULL THEN 1.0 / (1.0 - ws) ELSE 1.0 END) / (60 + rank) FROM bm JOIN aw USING (query_id) WHERE rank <= 60) GROUP BY ALL),
+tq AS (SELECT query_id, list_distinct({_tok('q')}) AS qt FROM qs), tn AS (SELECT id, list_distinct({_tok('title')}) AS tt FROM nt),
+tb AS (SELECT query_id, id, 0.30 * (0.4 + 0.6 * c) AS boost FROM (SELECT query_id, id, greatest(o / len(qt), o / len(tt)) AS c FROM (SELECT *, len(list_intersect(qt, tt)) AS o FROM tq, tn) WHERE o > 0) WHERE c >= 0.4),
+s1 AS (SELECT coalesce(f.query_id, t.query_id) AS query_id, coalesce(f.id, t.id) AS id, coalesce(f.score, 0) + coalesce(t.boost, 0) AS score FROM fz f FULL JOIN tb t ON f.query_id = t.query_id AND f.id = t.id),
+{_exact_sql('s1')},
+pl AS (SELECT query_id, id, score FROM (SELECT s1.query_id, s1.id, score + coalesce(boost, 0) AS score FROM s1 LEFT JOIN eb ON eb.query_id = s1.query_id AND eb.id = s1.id)
+       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 60),
+it AS (SELECT query_id, CASE WHEN f AND NOT h THEN 'fresh' WHEN h AND NOT f THEN 'historical' ELSE 'neutral' END AS intent FROM (SELECT query_id, regexp_matches(q, '{FRESH}') AS f, regexp_matches(q, '{HISTORICAL}') AS h FROM qs)),
+hd AS (SELECT pl.query_id, pl.id, score, intent, nt.* EXCLUDE (id), row_number() OVER (PARTITION BY pl.query_id ORDER BY u DESC, pl.id) - 1 AS place, count(*) OVER (PARTITION BY pl.query_id) AS n FROM pl JOIN nt ON nt.id = pl.id JOIN it ON it.query_id = pl.query_id),
+rf AS (SELECT *, (CASE intent WHEN 'fresh' THEN CASE WHEN n <= 1 THEN 1.0 ELSE 1.0 + place / (n - 1) * (0.6 - 1.0) END WHEN 'historical' THEN CASE WHEN n <= 1 THEN 0.6 ELSE 0.6 + place / (n - 1) * (1.0 - 0.6) END ELSE 1.0 END)
+       * exp(-(CASE intent WHEN 'fresh' THEN .01 WHEN 'neutral' THEN .001 ELSE 0 END) * greatest(epoch(TIMESTAMP '{NOW}' - u) / 86400.0, 0)) AS r FROM hd),
+fs AS (SELECT *, round((0.75 * score + 0.15 * strength) * r + CASE WHEN insight THEN 0.06 ELSE 0.0 END, 4) AS s2, {TT.replace(TITLE, 'title')} AS t FROM rf),
+tp AS (SELECT DISTINCT a.query_id, a.id FROM fs a JOIN fs b ON a.query_id = b.query_id AND a.id <> b.id
+       WHERE date_diff('day', a.u, b.u) >= 1 AND len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.35),
+fn AS (SELECT fs.query_id, fs.id, round(s2 - CASE WHEN tp.id IS NULL THEN 0.0 ELSE 0.05 END, 4) AS score, length(content[1:1200]) AS shown_chars FROM fs LEFT JOIN tp ON tp.query_id = fs.query_id AND tp.id = fs.id)
+SELECT query_id, id, score, shown_chars, e IS NULL AS degraded, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS place FROM fn JOIN aw USING (query_id) QUALIFY place <= 10""")
+def hybrid_recall_core(spark, sf_dir):
+    """The composed recall with the parts that the tables hold."""
+    chunks = _vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("id"), "embedding", F.lit(None).cast("string").alias("text"))
+    hits = rc.recall(_item_queries(spark, sf_dir), _recall_notes(spark, sf_dir), _index(spark, sf_dir), F.lit(NOW).cast("timestamp"), chunks=chunks)
+    return hits.select("query_id", "id", "score", F.length("shown").cast("long").alias("shown_chars"), "degraded", "place")
