@@ -81,35 +81,38 @@ def call_weights(calls: DataFrame) -> DataFrame:
     return n.withColumn("weight", 0.7 + 0.3 * F.log(1.0 + F.col("calls")) / F.log(1.0 + most))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 30, epsilon: float = 1e-6) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter: int = 30, epsilon: float = 1e-6, every: int = 5) -> DataFrame:
     """G1: ``(id, pagerank)`` of the undirected multigraph, mean 1; nodes without edges spread their mass evenly.
 
-    Edges count as often as they occur, a self edge twice.  Scores are written
-    to the shared folder every few rounds, which cuts the lineage.
+    Edges count as often as they occur, a self edge twice.  Nodes without edges
+    all have one score, which is a number, not rows; each other node hears from
+    a neighbour, so a round is one join and one sum.  Every ``every`` rounds the
+    scores are written to the shared folder, which cuts the lineage, and the run
+    ends once they moved by less than ``epsilon`` in all since the last time.
     """
     stage = SharedStage(nodes.sparkSession, "pagerank")
     ids = nodes.select("id").distinct()
     known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
-    both = known.unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
-    degree = both.groupBy(F.col("src").alias("id")).agg(F.sum("m").alias("degree"))
+    both = stage.put(known.unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")), "edges")
+    degree = both.groupBy("src").agg(F.sum("m").alias("degree"))
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(1.0).alias("pagerank"))
-    scores = stage.put(ids.join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / n).alias("score")), "scores")
-    both = stage.put(both, "edges")
-    for i in range(max_iter):
-        lost = scores.where("degree = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("x")).select("x").scalar()
-        given = both.join(scores.select(F.col("id").alias("src"), (F.col("score") / F.nullif(F.col("degree"), F.lit(0))).alias("share")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("m") * F.col("share")).alias("got"))
-        stepped = scores.join(given, "id", "left").select(
-            "id", "degree", ((1 - damping) / n + damping * lost / n + damping * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("was"))
-        stepped = stage.put(stepped, "scores")
-        moved = stepped.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0]
-        stage.drop(scores)
-        scores = stepped
-        if moved < epsilon:
-            break
-    total = scores.agg(F.sum("score")).first()[0]
-    return scores.select("id", (F.col("score") * (n / total)).alias("pagerank"))
+    shares = stage.put(both.join(degree, "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("share")), "shares")
+    scores = written = stage.put(degree.select(F.col("src").alias("id"), F.lit(1.0 / n).alias("score")), "scores")
+    lone, alone = n - written.count(), 1.0 / n
+    for i in range(1, max_iter + 1):
+        alone = (1 - damping) / n + damping * lone * alone / n
+        scores = shares.join(scores.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((alone + damping * F.sum(F.col("share") * F.col("score"))).alias("score"))
+        if i % every == 0 or i == max_iter:
+            scores = stage.put(scores, "scores")
+            moved = scores.join(written.withColumnRenamed("score", "was"), "id").agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
+            stage.drop(written)
+            written = scores
+            if moved < epsilon:
+                break
+    total = (scores.agg(F.sum("score")).first()[0] or 0.0) + lone * alone
+    return ids.join(scores, "id", "left").select("id", (F.coalesce("score", F.lit(alone)) * (n / total)).alias("pagerank"))
 
 
 def communities(edges: DataFrame, passes: int = 8) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Redaction and sentence segmentation of transcripts."""
+"""Redaction and sentence segmentation of transcripts."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import SECRET_PATTERNS
+from memlake.operators.ingest import clip_bytes
+from memlake.sources.transcripts import parse_transcript
 
 
 def high_entropy(token: str) -> bool:
@@ -92,3 +94,34 @@ def segment(records: DataFrame, keys: list[str], text_col: str, cap: int = 150)
     kinds = dict(records.dtypes)
     shape = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "sid int, start_byte int, end_byte int, sentence string, opaque boolean"])
     return records.select(*keys, F.col(text_col).cast("string").alias(text_col)).mapInPandas(run, shape)
+
+
+def transcript_sentences(lines: DataFrame, unit: str, position: str, value: str = "value", cap: int = 150) -> DataFrame:
+    """V2: the citable sentences of transcript lines: parsed, redacted, cut, numbered through each unit and dealt into parts.
+
+    ``lines`` has ``unit``, ``position`` (its order within the unit) and
+    ``value``.  Returns unit, part (from 1), sid (from 1 in each part), position,
+    role, start_byte, end_byte, sentence and opaque.  No sentence is dropped:
+    those beyond ``cap`` open the next part.  A unit's sentences are ordered in
+    one task; a unit is one session's turn.
+    """
+    told = parse_transcript(lines, value).where("status = 'text'").select(unit, position, "role", "text")
+    cut = segment(redact(told, "text"), [unit, position, "role"], "text", cap=1 << 30)
+    n = F.row_number().over(Window.partitionBy(unit).orderBy(position, "sid")) - 1
+    return cut.withColumn("__n", n).select(
+        unit, (F.floor(F.col("__n") / cap) + 1).cast("int").alias("part"), (F.col("__n") % cap + 1).alias("sid"), position, "role", "start_byte", "end_byte", "sentence", "opaque")
+
+
+def rendered(sid: Column, role: Column, sentence: Column, opaque: Column, cap_bytes: int = 2048) -> Column:
+    """The line that shows a sentence; an opaque block is cut at ``cap_bytes`` and its further lines are indented."""
+    kept = clip_bytes(sentence, cap_bytes)
+    lost = F.octet_length(sentence) - F.octet_length(kept)
+    block = F.concat(F.replace(kept, F.lit("\n"), F.lit("\n  ")), F.when(lost > 0, F.concat(F.lit("… [+"), lost.cast("string"), F.lit(" bytes]"))).otherwise(""))
+    return F.concat(F.lit("S"), sid.cast("string"), F.lit(" ["), role, F.lit("]: "), F.when(opaque, block).otherwise(sentence))
+
+
+def render(sentences: DataFrame, keys: list[str], cap_bytes: int = 2048) -> DataFrame:
+    """(keys, shown): the lines of each part of a unit, in order; a part has a bounded number of sentences."""
+    line = rendered(F.col("sid"), F.col("role"), F.col("sentence"), F.col("opaque"), cap_bytes)
+    listed = F.sort_array(F.collect_list(F.struct("sid", line.alias("line"))))
+    return sentences.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("shown"))

@@ -147,7 +147,7 @@ _STEM = "CASE " + " ".join(f"WHEN ends_with(t, '{s}') AND strlen(t) > {len(s) +
 _stems = lambda x: f"list_transform({x}, lambda t: {_STEM})"
 
 
-@query(f"""WITH s AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), q AS (SELECT doc_id AS query_id, (CASE WHEN doc_id % 40 = 0 THEN 'currently ' ELSE '' END) || array_to_string(w[1:8], ' ') AS q FROM s WHERE doc_id % 20 = 0),
+@query(f"""WITH s AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), q AS (SELECT doc_id AS query_id, (CASE WHEN doc_id % 40 = 0 THEN 'currently ' ELSE '' END) || array_to_string(w, ' ') AS q FROM s WHERE doc_id % 20 = 0),
 a AS (SELECT query_id, list_distinct({_tok('q')}) AS qt, regexp_matches(q, '{tx.CURRENCY}') AS asks FROM q), f AS (SELECT doc_id AS id, array_to_string(w[1:2], ' ') AS subject, doc_id % 2 = 0 AS cur, array_to_string(w[3:6], ' ') AS v FROM s),
 g AS (SELECT id, subject, cur, list_distinct({_tok('subject')}) AS st, {_stems(_tok('v'))} AS av FROM f),
 h AS (SELECT query_id, id, subject, cur, asks, len(list_filter(list_distinct({_stems('qt')}), lambda z: list_contains(av, z) AND NOT list_contains({_stems('st')}, z))) AS rel FROM a JOIN g ON len(st) > 0 AND list_has_all(qt, st)),
@@ -158,7 +158,7 @@ def fact_adjustment(spark, sf_dir):
     """Each document states a fact: two words are its subject, the next four its value; even ids are current."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
     words = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.concat(F.when(F.col("doc_id") % 40 == 0, "currently ").otherwise(""), words(1, 8)).alias("q"))
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.concat(F.when(F.col("doc_id") % 40 == 0, "currently ").otherwise(""), F.array_join("w", " ")).alias("q"))
     facts = docs.select(F.col("doc_id").alias("id"), words(1, 2).alias("subject"), F.lit("").alias("attribute"), words(3, 4).alias("value"), (F.col("doc_id") % 2 == 0).alias("current"))
     return oc.fact_adjustment(asked, facts).select("query_id", "id", F.round("boost", 6).alias("boost"), F.round("demote", 6).alias("demote"))
 

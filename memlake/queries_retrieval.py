@@ -282,13 +282,13 @@ def mmr_rerank(spark, sf_dir):
     return fu.mmr(pool)
 
 
-@query(f"""WITH qs AS (SELECT item_id * 2 + x AS query_id, array_to_string(string_split(text, ' ')[1 + 6 * x : 6 + 6 * x], ' ') AS q FROM benchmark, (SELECT unnest([0, 1]) AS x)), {BM25_CTE}
+@query(f"""WITH qs AS (SELECT item_id * 2 + x AS query_id, array_to_string(CASE WHEN x = 0 THEN w[: len(w) // 2] ELSE w[len(w) // 2 + 1 :] END, ' ') AS q FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), (SELECT unnest([0, 1]) AS x)), {BM25_CTE}
 SELECT query_id // 2 AS query_id, doc_id AS id, round(sum(1 / (60 + rank)), 9) AS score FROM bm WHERE rank <= 20 GROUP BY ALL""")
 def multi_query_rrf(spark, sf_dir):
-    """Two phrasings per need, fused by plain reciprocal rank."""
-    words = F.split("text", " ")
+    """Two phrasings per need, the halves of its text, fused by plain reciprocal rank."""
+    words, half = F.split("text", " "), F.floor(F.size("w") / 2).cast("int")
     asked = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"), F.explode(F.array(F.lit(0), F.lit(1))).alias("x"))
-    asked = asked.select((F.col("item_id") * 2 + F.col("x")).alias("query_id"), F.array_join(F.slice("w", F.col("x") * 6 + 1, F.lit(6)), " ").alias("q"))
+    asked = asked.select((F.col("item_id") * 2 + F.col("x")).alias("query_id"), F.array_join(F.when(F.col("x") == 0, F.slice("w", F.lit(1), half)).otherwise(F.slice("w", half + 1, F.size("w") - half)), " ").alias("q"))
     hits = kw.bm25(asked, _index(spark, sf_dir), 20).withColumn("query_id", F.floor(F.col("query_id") / 2))
     return fu.rrf([(hits, F.lit(1.0))]).select("query_id", "id", F.round("score", 9).alias("score"))
 
