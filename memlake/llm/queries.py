@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
 from memlake.llm.decontaminate import contaminated_passages
 from memlake.llm.exact_dedup import exact_duplicates
 from memlake.llm.html_extract import main_text
@@ -16,6 +15,7 @@ from memlake.llm.mixing import mix_sources
 from memlake.llm.near_dedup import near_duplicates
 from memlake.llm.sharding import shard_rows
 from memlake.llm.stages import run
+from memlake.llm.token_count import token_counts
 from memlake.llm.token_store import read_token_store, write_token_store
 from memlake.plans.shared import SharedStage
 
@@ -72,6 +72,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids, written to a store and read back."""
+    import public_tokenizers
+
     path = SharedStage(spark, "tokens").path("store")
     write_token_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     back = read_token_store(spark, path)
@@ -94,6 +96,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document by a compiled transducer."""
+    import public_tokenizers
+
+    found = token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_text": op2_html_text,
@@ -105,6 +115,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_counts": op11_token_counts,
     "pipeline": run,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
