@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.decontaminate import contaminated_passages
 from memlake.llm.exact_dedup import exact_duplicates
+from memlake.llm.filter_audit import audit_filters
 from memlake.llm.html_extract import main_text
 from memlake.llm.langid import fit, identify
 from memlake.llm.license_scan import scan_licenses
@@ -104,6 +105,41 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in every order."""
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+w AS (SELECT doc_id, t, part, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+         CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > least THEN 16 ELSE 0 END AS failed
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS a),
+o AS (
+  SELECT p.a || q.a || r.a || s.a || t.a AS filter_order FROM x p, x q, x r, x s, x t
+  WHERE p.a <> q.a AND r.a NOT IN (p.a, q.a) AND s.a NOT IN (p.a, q.a, r.a) AND t.a NOT IN (p.a, q.a, r.a, s.a)),
+st AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+         coalesce(list_sum(list_transform(string_split(filter_order[1:step - 1], ''), lambda y: CASE WHEN y = '' THEN 0 ELSE 1 << (ascii(y) - 65) END)), 0) AS prior
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+g AS (
+  SELECT part, filter_order, step, own,
+         count(*) FILTER (failed & (prior::INT | own) = 0) AS kept, count(*) FILTER (failed & prior::INT = 0 AND failed & own <> 0) AS removed,
+         count(*) FILTER (failed & prior::INT <> 0 AND failed & own <> 0) AS redundant, count(*) FILTER (failed = own) AS unique_fails,
+         count(*) FILTER (failed & prior::INT = 0 AND failed & own <> 0 AND good) AS good_lost, count(*) FILTER (failed & prior::INT = 0 AND failed & own <> 0 AND bad) AS toxic_lost
+  FROM f, st GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM g
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_text": op2_html_text,
@@ -116,6 +152,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_token_counts": op11_token_counts,
+    "op12_filter_audit": op12_filter_audit,
     "pipeline": run,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op12_filter_audit": OP12_SQL}
