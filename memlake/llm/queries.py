@@ -18,6 +18,7 @@ from memlake.llm.sharding import shard_rows
 from memlake.llm.stages import run
 from memlake.llm.token_count import token_counts
 from memlake.llm.token_store import read_token_store, write_token_store
+from memlake.llm.vector_codes import vector_codes
 from memlake.plans.shared import SharedStage
 
 
@@ -140,6 +141,36 @@ FROM g
 """
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four parts for every vector, 256 entries each, trained in four rounds."""
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+_ASSIGN = """
+a{i} AS MATERIALIZED (
+  SELECT rn, p.part, min(CAST(list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS BIGINT) * 256 + entry) AS best
+  FROM p JOIN c{i} ON p.part = c{i}.part GROUP BY rn, p.part)"""
+_MOVE = """
+m{j} AS (
+  SELECT part, entry, list(x ORDER BY pos) AS moved
+  FROM (SELECT part, entry, pos, floor(sum(x) / count(*)) AS x
+        FROM (SELECT part, best % 256 AS entry, unnest(v) AS x, unnest(range(len(v))) AS pos FROM a{i} JOIN p USING (rn, part)) GROUP BY part, entry, pos)
+  GROUP BY part, entry),
+c{j} AS MATERIALIZED (SELECT c{i}.part, c{i}.entry, coalesce(moved, c) AS c FROM c{i} LEFT JOIN m{j} ON c{i}.part = m{j}.part AND c{i}.entry = m{j}.entry)"""
+OP13_SQL = """
+WITH k AS (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS rn, len(embedding) // 4 AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rn, part, list_transform(embedding[part * n + 1:part * n + n], lambda x: floor(1024 * x::DOUBLE)) AS v FROM k, range(4) AS r(part)),
+c0 AS MATERIALIZED (SELECT part, rn AS entry, v AS c FROM p WHERE rn < 256),
+""" + ",".join(_ASSIGN.format(i=i) + "," + _MOVE.format(i=i, j=i + 1) for i in range(4)) + "," + _ASSIGN.format(i=4) + """,
+b AS (SELECT sha256(string_agg(array_to_string(CAST(c AS BIGINT[]), ','), ',' ORDER BY part, entry)) AS h FROM c4),
+f AS (SELECT rn, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a4 GROUP BY rn)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM k JOIN f USING (rn), b
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_text": op2_html_text,
@@ -153,6 +184,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_token_counts": op11_token_counts,
     "op12_filter_audit": op12_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": run,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op12_filter_audit": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op12_filter_audit": OP12_SQL, "op13_vector_codes": OP13_SQL}
