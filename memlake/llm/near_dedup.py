@@ -15,8 +15,8 @@ Steps, all on Spark:
    similarity s shares no bucket with probability (1 - s**rows)**bands: 3e-6 at
    0.8 with the default 24 bands of 4 rows, and less above.
 4. First links: each class against the class that is least in most of its
-   buckets, confirmed on the full sets; components by rounds of a parallel
-   union-find (hook each tree to the least neighbouring root, then jump).
+   buckets, confirmed on the full sets; components by a parallel union-find
+   (``connected_components`` contracts the graph of links until one task can end it).
 5. Rest: pairs of one bucket that are still in different components.  Buckets
    of up to ``bucket_pairs`` classes give their pairs, confirmed on full sets.
    Larger ones are compared block by block inside tasks: products of 0/1

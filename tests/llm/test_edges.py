@@ -339,3 +339,23 @@ def test_stages_with_repeated_and_null_ids(spark, tmp_path):
     assert dealt.columns == [*df.columns, "shard", "slot"] and Counter(tuple(r)[: len(df.columns)] for r in dealt.collect()) == all_rows
     for name, step in corpus_pipeline.STAGES:
         assert step(spark, df.limit(0), f"file://{tmp_path}").count() == 0, name
+
+
+def test_a_chain_of_near_copies_is_one_component(spark):
+    """2,000 texts, each shifted by three words against the one before: links are 37 of 43 shingles; plain union-find over them."""
+    from memlake.llm.near_dedup import near_duplicates
+
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(2000 * 3 + 40)]
+    texts = [" ".join(words[3 * i : 3 * i + 40]) for i in range(2000)]
+    sets = [{tuple(t.split()[j : j + 4]) for j in range(37)} for t in texts]
+    assert 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1]) and 100 * len(sets[0] & sets[2]) < 80 * len(sets[0] | sets[2])
+    ids = list(range(1, 2001))
+    rng.shuffle(ids)
+    cut = {500, 501, 1200}  # texts left out: the chain falls into pieces
+    rows = [(ids[i], t) for i, t in enumerate(texts) if i not in cut]
+    want = {}
+    for low, high in ((0, 500), (502, 1200), (1201, 2000)):
+        want |= {ids[i]: min(ids[low:high]) for i in range(low, high)}
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4, percent=80).collect()
+    assert {r.id: r.component_id for r in found} == want
