@@ -203,15 +203,30 @@ def test_given_weights_are_exact_and_slots_follow_plain_edf(spark):
     got = mx.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), ["doc_id"], weights=weights, block_rows=2).collect()
     assert {r["source"]: round(r["mix_weight"], 9) for r in got} == weights
     at = {r["mix_slot"]: r["source"] for r in got if r["mix_slot"] < 390}
-    assert [at[t] for t in range(390)] == plain_edf(mx.exact_parts(weights), 390)
-    assert mx.exact_parts({"a": 1.0, "b": 1e-9}) is None and mx.exact_parts({"a": 0.7, "b": 0.3}) == {"a": 7, "b": 3}
+    assert [at[t] for t in range(390)] == plain_edf({"a": 20, "b": 12, "c": 7, "d": 1}, 390)
+    assert mx.whole_weights({"a": 1.0, "b": 1e-9}) == {"a": 10**9, "b": 1} and mx.whole_weights({"a": 0.7, "b": 0.3}) == {"a": 7, "b": 3}
+
+
+def test_a_null_source_is_not_the_empty_one(spark):
+    rows = [(i, (None, "", "a")[i % 3]) for i in range(600)]
+    got = mx.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), ["doc_id"], weights={None: 0.5, "": 0.2, "a": 0.3}, block_rows=2).collect()
+    assert {r["source"]: r["mix_weight"] for r in got} == {None: 0.5, "": 0.2, "a": 0.3}
+    early = Counter(r["source"] for r in got if r["mix_slot"] < 100)
+    assert early == {None: 100, "": 40, "a": 60}
+    assert all((r["mix_slot"] < 200) == r["in_mix"] for r in got)  # the null source, half of the weight, ends at slot 200
+
+
+def test_blocks_grow_so_that_their_number_is_bounded(spark):
+    df = spark.range(5000).selectExpr("id AS doc_id", "IF(id < 4000, 'a', 'b') AS source")
+    got = mx.mix_sources(df, ["doc_id"], most_blocks=50, block_rows=4).collect()
+    assert max(r["mix_slot"] for r in got) == 49 and len({r["mix_order"] for r in got}) == 5000 and max(Counter(r["mix_slot"] for r in got).values()) == 100
 
 
 def test_many_light_sources_share_a_pool(spark):
     names = [f"s{i}" for i in range(450)] * 8 + ["hot"] * 2080 + [None] * 320
     rows = [(i % 900 if i % 5 else None, s, "x") for i, s in enumerate(names)]
     df = spark.createDataFrame(rows, "doc_id long, source string, __n string").withColumn("__ph", F.lit("kept")).withColumn("h", F.monotonically_increasing_id())
-    got = mx.mix_sources(df, ["doc_id", "h"], block_rows=2, parts=512, heavy=16)
+    got = mx.mix_sources(df, ["doc_id", "h"], block_rows=2, most_sources=16)
     assert got.columns == [*df.columns, "mix_weight", "mix_block", "mix_slot", "mix_order", "in_mix"]
     out = got.collect()
     assert len(out) == 6000 and sorted({r["mix_slot"] for r in out}) == list(range(len({r["mix_slot"] for r in out}))) and len({r["mix_order"] for r in out}) == 6000

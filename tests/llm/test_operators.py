@@ -1,6 +1,7 @@
 """The numbered operators against brute force, and on nulls, empties, ties, repeats and clashing columns."""
 
 import collections
+from fractions import Fraction
 import hashlib
 import random
 import re
@@ -19,7 +20,7 @@ from memlake.llm.html_extract import main_text
 from memlake.llm.langid import fit, identify
 from memlake.llm.license_scan import scan_licenses
 from memlake.llm.line_dedup import drop_recurring_lines
-from memlake.llm.mixing import mix_sources, pfair_period, phases
+from memlake.llm.mixing import mix_sources, pfair_slots, whole_weights
 from memlake.llm.sharding import communication_matrix, hypergeometric, shard_rows
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -172,22 +173,52 @@ def test_shards(spark):
     assert shard_rows(df.limit(0), ["doc_id"]).count() == 0
 
 
-def test_pfair_stays_within_a_block():
-    share = {"a": 500, "b": 301, "c": 150, "d": 48, "e": 1}
-    slots = pfair_period(share)
+def _fluid(weights, blocks, t):
+    """What each source has of slot t by plain water-filling: the active sources share each slot by weight."""
+    have, left = dict.fromkeys(weights, Fraction(0)), Fraction(t)
+    while left > 0 and any(have[s] < blocks[s] for s in weights):
+        active = {s: weights[s] for s in weights if have[s] < blocks[s]}
+        total = sum(active.values())
+        step = min(left, min((blocks[s] - have[s]) * total / w for s, w in active.items()))
+        for s, w in active.items():
+            have[s] += step * w / total
+        left -= step
+    return have
+
+
+@pytest.mark.parametrize("weights", [
+    {"a": 500, "b": 301, "c": 150, "d": 48, "e": 1}, {s: n**0.8 for s, n in (("a", 40_000), ("b", 3_000), ("c", 777), ("d", 9))}, {"a": 0.3, "b": 0.3, "c": 0.399, "d": 0.001},
+    {"hot": 0.5} | {f"s{i}": 0.005 for i in range(100)}, {"a": 1.0, "b": 1e-9, "c": 0.37}])
+def test_pfair_stays_within_a_block_of_the_target(weights):
+    exact = whole_weights(weights)
+    blocks = {s: 1 + i * 400 % 977 for i, s in enumerate(weights)}
+    slots = pfair_slots(blocks, exact)
     at = {t: s for s, v in slots.items() for t in v}
-    done = dict.fromkeys(share, 0)
-    for t in range(1000):
+    assert sorted(at) == list(range(sum(blocks.values()))) and all(v == sorted(v) and len(v) == blocks[s] for s, v in slots.items())
+    done = dict.fromkeys(weights, 0)
+    for t in range(len(at)):
         done[at[t]] += 1
-        assert all(abs(done[s] - share[s] * (t + 1) / 1000) < 1 for s in share)
-    plan = phases({"a": 10, "b": 3}, {"a": 1.0, "b": 1.0}, 10)
-    assert [p["first"] for p in plan["a"]] == [0, 3] or [p["first"] for p in plan["a"]] == [0, 4]
+        if t < 300 or t % 97 == 0:
+            due = _fluid(exact, blocks, t + 1)
+            assert all(abs(done[s] - due[s]) < 1 for s in weights), t
+
+
+def test_a_long_mix_does_not_drift():
+    """A million slots of sources that weigh n ** 0.8: every prefix within one block of the target weights."""
+    weights = {s: float(n) ** 0.8 for s, n in (("a", 5_000_000), ("b", 900_000), ("c", 40_000))}
+    total = sum(weights.values())
+    blocks = {s: int(1_000_000 * w / total) + 1 for s, w in weights.items()}
+    slots = pfair_slots(blocks, whole_weights(weights))
+    for s, v in slots.items():
+        place, share = np.array(v[: blocks[s] - 2]), weights[s] / total
+        k = np.arange(len(place))
+        assert np.abs(k + 1 - share * (place + 1)).max() < 1 and np.abs(k - share * place).max() < 1
 
 
 def test_mixing_keeps_every_row(spark):
     rows = [(i, "hot" if i < 700 else f"s{i % 5}" if i < 990 else None) for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("mix_slot", F.lit(0))
-    got = mix_sources(df, ["doc_id"], block_rows=4, parts=100).collect()
+    got = mix_sources(df, ["doc_id"], block_rows=4).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(1000)) and len({r["mix_order"] for r in got}) == 1000
     slots = collections.defaultdict(set)
     for r in got:
