@@ -1,4 +1,4 @@
-"""Exact vector search and similarity joins."""
+"""Exact vector search (R1, R26, R28) and links from pairs."""
 
 from __future__ import annotations
 
@@ -76,26 +76,6 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_i
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, low: float, high: float = 2.0, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2048) -> DataFrame:
-    """``(a, b, similarity)`` with a < b and low <= cosine < high; exact, block against block inside tasks."""
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("v IS NOT NULL")
-    parts = max(1, -(-base.count() // block))
-    dealt = base.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v")
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        side, ids = table["own"].to_numpy(), table["id"].to_numpy()
-        m = _unit(_matrix(table["v"].combine_chunks()))
-        x, y = np.flatnonzero(side == key[0].as_py()), np.flatnonzero(side == key[1].as_py())
-        sims = m[x] @ m[y].T
-        r, c = np.nonzero((sims >= low - 1e-12) & (sims < high))
-        a, b, s = ids[x[r]], ids[y[c]], sims[r, c]
-        keep = a < b if key[0].as_py() == key[1].as_py() else a != b
-        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[keep]})
-
-    return dealt.groupBy("i", "j").applyInArrow(run, "a long, b long, similarity double")
-
-
 def top_links(pairs: DataFrame, k: int) -> DataFrame:
     """Both directions of similarity pairs, at most ``k`` per source, best first."""
     both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "similarity"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.operators import graph as gr
-from memlake.operators import vector as ve
 from memlake.operators.components import connected_components as components_of
+from memlake.operators.similarity import similar_pairs
+from memlake.queries_retrieval import EACH
 from memlake.registry import register, table
 
 QUERIES: dict = {}
@@ -59,14 +60,14 @@ def spread_activation(spark, sf_dir):
     return gr.spread(hits, links).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id),
+@query(f"""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM {EACH} a JOIN {EACH} b ON a.vec_id < b.vec_id),
 k AS (SELECT vec_id AS src, (vec_id * 7 + 3) % 500 AS dst FROM embeddings)
 SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.35 AND NOT EXISTS (SELECT 1 FROM k WHERE (src = a AND dst = b) OR (src = b AND dst = a))""")
 def orphan_pairs_anti(spark, sf_dir):
     """J8, K6."""
     vectors = table(spark, sf_dir, "embeddings")
     asserted = vectors.select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 3) % 500).alias("dst"))
-    return gr.unasserted(ve.similar_pairs(vectors, 0.35), asserted).withColumn("similarity", F.round("similarity", 6))
+    return gr.unasserted(similar_pairs(vectors, 0.35), asserted).withColumn("similarity", F.round("similarity", 6))
 
 
 KINDS = "CASE (a + b) % 3 WHEN 0 THEN 'entity' WHEN 1 THEN 'semantic' ELSE 'manual' END"
@@ -130,13 +131,13 @@ def louvain_communities(spark, sf_dir):
     return gr.communities(_edges(spark, sf_dir).where("similarity > 0.7"))
 
 
-@query("""WITH p AS (SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE s >= .3),
+@query(f"""WITH p AS (SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM {EACH} a JOIN {EACH} b ON a.vec_id < b.vec_id) WHERE s >= .3),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 9) DESC, dst) AS k FROM (SELECT a AS src, b AS dst, s FROM p UNION ALL SELECT b, a, s FROM p)),
 t AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(s) AS s, sum((k <= 3)::INT) AS tops FROM r GROUP BY 1, 2)
 SELECT a, b, round(s, 6) AS similarity, CASE WHEN tops >= 2 THEN 'backbone' WHEN tops = 1 THEN 'essential' ELSE 'detail' END AS tier FROM t""")
 def mutual_topk_backbone(spark, sf_dir):
     """G4 tiers."""
-    pairs = ve.similar_pairs(table(spark, sf_dir, "embeddings"), 0.3).select(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity")
+    pairs = similar_pairs(table(spark, sf_dir, "embeddings"), 0.3).select(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity")
     return gr.mutual_backbone(pairs).withColumn("similarity", F.round("similarity", 6))
 
 

@@ -10,6 +10,7 @@ from memlake.operators import bm25 as kw
 from memlake.operators import fusion as fu
 from memlake.operators import recall as rc
 from memlake.operators import vector as ve
+from memlake.operators.similarity import equal_vectors, similar_pairs
 from memlake.plans.shared import SharedStage
 from memlake.registry import register, table
 
@@ -120,13 +121,14 @@ def nearest_dup_threshold(spark, sf_dir):
     return hits.select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
-PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"
+EACH = "(SELECT min(vec_id) AS vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL GROUP BY embedding)"  # equal vectors are one
+PAIRS = f"SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM {EACH} a JOIN {EACH} b ON a.vec_id < b.vec_id"
 
 
 @query(f"WITH p AS ({PAIRS}) SELECT a, b, round(s, 3) AS similarity FROM p WHERE s >= 0.38 AND s < 0.45")
 def conflict_band_pairs(spark, sf_dir):
     """J6 with the band moved to where the test vectors lie."""
-    return ve.similar_pairs(_vectors(spark, sf_dir), 0.38, 0.45).select("a", "b", F.round("similarity", 3).alias("similarity"))
+    return similar_pairs(_vectors(spark, sf_dir), 0.38, 0.45).select("a", "b", F.round("similarity", 3).alias("similarity"))
 
 
 @query(f"""WITH p AS ({PAIRS}), b2 AS (SELECT a AS src, b AS dst, s FROM p WHERE s >= 0.3 UNION ALL SELECT b, a, s FROM p WHERE s >= 0.3),
@@ -134,10 +136,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 9) DESC, d
 SELECT src, dst, round(s, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 5""")
 def semantic_links_topk(spark, sf_dir):
     """Links above a similarity, five per source."""
-    links = ve.top_links(ve.similar_pairs(_vectors(spark, sf_dir), 0.3), 5)
+    links = ve.top_links(similar_pairs(_vectors(spark, sf_dir), 0.3), 5)
     return links.select("src", "dst", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY embedding) AS class_id FROM embeddings WHERE embedding IS NOT NULL")
+def equal_vector_classes(spark, sf_dir):
+    """Who belongs to the classes that similar pairs name."""
+    return equal_vectors(_vectors(spark, sf_dir))
+
+
 def _item_queries(spark, sf_dir) -> DataFrame:
     """Benchmark items as whole queries; the vector of the same number stands for an item's embedding, items without one have none."""
     vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")

@@ -116,11 +116,6 @@ def test_blast_radius_ends_on_cycles(spark):
     assert got == {(2, 1), (3, 2)}
 
 
-def test_similar_pairs_bounds_and_zero(spark):
-    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 0.0]), (4, None)], "vec_id long, embedding array<double>")
-    assert [(r["a"], r["b"]) for r in vector.similar_pairs(rows, 0.8).collect()] == [(1, 2)]
-
-
 def test_gapless_numbers(spark):
     df = spark.range(1000).withColumn("g", F.when(F.col("id") < 700, "hot").when(F.col("id") < 990, "b"))
     rows = gapless_number(df, ["g"], F.xxhash64("id"), "n", 8).collect()
