@@ -38,7 +38,7 @@ _indexes: dict = {}
 def _index(spark, sf_dir: str) -> kw.KeywordIndex:
     """The stored keyword index of the documents, built once per session and folder while its table stands."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _indexes or not SharedStage.stands(_indexes[key].stored):
+    if key not in _indexes or not _indexes[key].stands():
         _indexes[key] = kw.KeywordIndex.build(table(spark, sf_dir, "documents"))
     return _indexes[key]
 
