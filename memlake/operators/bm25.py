@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.text import tokenize
 from memlake.plans.shared import SharedStage
+from memlake.plans.spread import spread_small
 
 
 class KeywordIndex:
@@ -53,14 +54,15 @@ class KeywordIndex:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def _write(self, epoch: int, docs: DataFrame, gone: DataFrame | None) -> None:
-        tokens = docs.select("id", tokenize(F.col("text")).alias("terms")).where(F.size("terms") > 0).select("id", F.size("terms").alias("doc_len"), "terms")
+        tokens = spread_small(docs).select("id", tokenize(F.col("text")).alias("terms")).where(F.size("terms") > 0).select("id", F.size("terms").alias("doc_len"), "terms")
         each = tokens.select("id", "doc_len", F.explode("terms").alias("term")).withColumns({"bucket": self._bucket(), "share": F.pmod(F.xxhash64("id"), F.lit(self.SPREAD))})
         counted = each.repartition("bucket", "share").groupBy("bucket", "share", "term", "id", "doc_len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         sorted_ = counted.select("term", "id", "tf", "doc_len", "bucket").sortWithinPartitions("bucket", "term", "id")
         sorted_.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/epoch={epoch}")
         if gone is not None:
             gone.write.mode("overwrite").parquet(f"{self.root}/gone/epoch={epoch}")
-        tokens.select("id", "doc_len").write.mode("overwrite").parquet(f"{self.root}/docs/epoch={epoch}")
+        written = self.spark.read.schema("id " + docs.schema["id"].dataType.simpleString() + ", doc_len int").parquet(f"{self.root}/postings/epoch={epoch}")
+        written.select("id", "doc_len").distinct().write.mode("overwrite").parquet(f"{self.root}/docs/epoch={epoch}")
 
     def update(self, changed: DataFrame, deleted: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> KeywordIndex:
         """The index with the texts of ``changed`` (new or edited) and without the ids of ``deleted``; writes their postings only."""
@@ -131,7 +133,7 @@ def bm25(
     terms are candidates, and the weak terms' postings count for those only.
     """
     stage = SharedStage(queries.sparkSession, "bm25")
-    terms = stage.put(queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")), "terms")
+    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     hits = stage.put(index.postings(terms), "hits")
     whole = index.stats().first()
     n, avgdl = F.lit(float(whole["n_docs"])), F.lit(whole["avgdl"] or 1.0)
@@ -151,11 +153,13 @@ def bm25(
     bar = best.join(losses, "query_id").select("query_id", F.greatest(F.col("last") + F.col("loss"), 0.1 * (F.col("top") + F.col("loss"))).alias("bar"))
     weak = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
     told = weighted.withColumn("reach", F.sum("most").over(weak)).join(bar, "query_id", "left")
-    told = stage.put(told.select("query_id", "term", "weight", F.coalesce((F.col("bar") > 0) & (F.col("reach") < F.col("bar") * (1 - 1e-9)), F.lit(False)).alias("idle")), "told")
+    told = stage.put(told.select("query_id", "term", "df", "weight", F.coalesce((F.col("bar") > 0) & (F.col("reach") < F.col("bar") * (1 - 1e-9)), F.lit(False)).alias("idle")), "told")
+    spared, every = told.agg(F.sum(F.when(F.col("idle"), F.col("df"))), F.sum("df")).first()
     scored = hits.join(told, "term").select("query_id", "id", "idle", part.alias("part"))
-    found = stage.put(scored.where("NOT idle").groupBy("query_id", "id").agg(F.sum("part").alias("part")), "found")
-    more = scored.where("idle").join(found.select("query_id", "id"), ["query_id", "id"], "left_semi").select("query_id", "id", "part")
-    score = found.unionByName(more).groupBy("query_id", "id").agg(F.sum("part").alias("score")).where("score <> 0")
+    if 2 * (spared or 0) >= (every or 0):
+        found = stage.put(scored.where("NOT idle").groupBy("query_id", "id").agg(F.sum("part").alias("part")), "found")
+        scored = found.unionByName(scored.where("idle").join(found.select("query_id", "id"), ["query_id", "id"], "left_semi").select("query_id", "id", "part"))
+    score = scored.groupBy("query_id", "id").agg(F.sum("part").alias("score")).where("score <> 0")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     ranked = score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     top = F.max("score").over(Window.partitionBy("query_id"))  # k rows

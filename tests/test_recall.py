@@ -1,5 +1,8 @@
 """The composed recall: every stage changes the result, and missing parts degrade it."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,10 +105,66 @@ def test_knn_by_blocks_equals_one_block(spark):
     assert ve.knn(asked.limit(0), df, 5).count() == 0
 
 
-def test_index_is_read_not_rebuilt(spark):
+def _postings(index):
+    return {(r["id"], r["term"], r["tf"], r["doc_len"]) for r in index.postings().collect()}
+
+
+def test_index_is_read_by_bucket(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha"), (3, None), (4, "the of")], "doc_id long, text string")
     index = KeywordIndex.build(docs)
-    q = spark.createDataFrame([(1, "beta")], "query_id long, q string")
-    plan = bm25(q, index, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "keywords-" in plan and index.stats().first()["n_docs"] == 2
-    assert {(r["id"], r["term"], r["tf"]) for r in index.postings().collect()} == {(1, "alpha", 1), (1, "beta", 2), (2, "alpha", 1)}
+    one = index.postings(spark.createDataFrame([("beta",)], "term string"))
+    scan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ = \d+", scan) and index.stats().first()["n_docs"] == 2
+    assert [(r["id"], r["tf"]) for r in one.collect()] == [(1, 2)]
+    assert _postings(index) == {(1, "alpha", 1, 3), (1, "beta", 2, 3), (2, "alpha", 1, 1)}
+
+
+def test_index_epochs_equal_a_new_index(spark):
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(60)]
+    texts = {i: " ".join(rng.choices(words, k=rng.randint(0, 30))) for i in range(200)}
+    frame = lambda t: spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    index = KeywordIndex.build(frame(texts), buckets=8)
+    for epoch in range(3):
+        changed = {i: " ".join(rng.choices(words, k=20)) for i in rng.sample(range(260), 30)} | {epoch: ""}
+        deleted = rng.sample(sorted(set(texts) - set(changed)), 10)
+        index = index.update(frame(changed), spark.createDataFrame([(i,) for i in deleted], "doc_id long"))
+        texts = {i: t for i, t in (texts | changed).items() if i not in deleted}
+    again = KeywordIndex(spark, index.root, index.epochs - 1, 8).update(frame(changed), spark.createDataFrame([(i,) for i in deleted], "doc_id long"))  # a retry
+    assert again.epochs == index.epochs == 4
+    fresh = KeywordIndex.build(frame(texts), buckets=8)
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=5))) for i in range(20)], "query_id long, q string")
+    best = [{(r["query_id"], r["id"], round(r["score"], 9), r["rank"]) for r in bm25(asked, x, 5).collect()} for x in (fresh, index, index.compact(), KeywordIndex.open(spark, index.root, 8))]
+    assert best[0] == best[1] == best[2] == best[3] and len(best[0]) == 100
+    assert _postings(index) == _postings(fresh) == _postings(index.compact())
+
+
+def test_pruned_scores_equal_plain_ones(spark):
+    """Zipf-like words: most postings belong to words too weak to matter; held against every score by plain Python."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}x" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    texts = [rng.choices(vocabulary, weights, k=rng.randint(5, 60)) for _ in range(600)]
+    asked = [rng.choices(vocabulary, weights, k=6) + [rng.choice(t)] for t in texts[:25]] + [["w0x"], ["unknown"]]
+    index = KeywordIndex.build(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), buckets=4)
+    got = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 6)) for r in bm25(spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(asked)], "query_id long, q string"), index, 3, probe=5).collect()}
+    df, mean = Counter(w for t in texts for w in set(t)), sum(map(len, texts)) / len(texts)
+    want = {}
+    for i, q in enumerate(asked):
+        scores = []
+        for j, t in enumerate(texts):
+            tf, s = Counter(t), 0.0
+            for w, n in Counter(q).items():
+                if tf[w]:
+                    raw = math.log((600 - df[w] + 0.5) / (df[w] + 0.5))
+                    s += n * raw * (0.25 if raw < 0 else 1) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(t) / mean))
+            if s:
+                scores.append((-round(s, 9), j, s))
+        best = max((s for *_, s in scores), default=0)
+        for rank, (_, j, s) in enumerate(sorted(scores)[:3]):
+            if best <= 0 or s > 0.1 * best:
+                want[i, rank + 1] = (j, round(s, 6))
+    assert got == want
