@@ -8,6 +8,7 @@ from memlake.operators import history as hi
 from memlake.operators import ingest as ing
 from memlake.registry import register, table
 from memlake.streaming import journal as st
+from memlake.streaming.stateful import unit_ledger
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -162,3 +163,23 @@ def stream_pending_turns(spark, sf_dir):
     """Each user's purchase journey opens with the first kind of event and ends with the last."""
     kinds = [r[0] for r in _events(spark, sf_dir).agg(F.min("event_type"), F.max("event_type")).select(F.explode(F.array("min(event_type)", "max(event_type)"))).collect()]
     return st.drain(st.pending_turns(st.read_events(spark, sf_dir), "user_id", kinds[0], kinds[1]))
+
+
+@query("""WITH o AS (SELECT user_id AS key, ts AS opened_at FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id AS key, ts AS closed_at FROM events WHERE event_type = 'signup'),
+w AS (SELECT least((SELECT max(opened_at) FROM o), (SELECT max(closed_at) FROM c)) - INTERVAL 2 DAY AS t)
+SELECT key AS user_id, strftime(opened_at, '%Y-%m-%d %H:%M:%S.%f') AS opened_at FROM o, w
+WHERE opened_at + INTERVAL 1 DAY < t AND NOT EXISTS (SELECT 1 FROM c WHERE c.key = o.key AND closed_at >= opened_at AND closed_at <= opened_at + INTERVAL 1 DAY)""")
+def stream_incomplete_turns(spark, sf_dir):
+    """Purchases that no signup of the user followed within a day, from two streams; all that the watermark has passed."""
+    e = st.read_events(spark, sf_dir)
+    joined = st.open_without_close(e.where("event_type = 'purchase'"), st.read_events(spark, sf_dir).where("event_type = 'signup'"), "user_id", "1 day")
+    lost = st.drain(joined).where("closed_at IS NULL")
+    return lost.select(F.col("key").alias("user_id"), F.date_format("opened_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("opened_at"))
+
+
+@query()
+def stream_unit_ledger(spark, sf_dir):
+    """V9: errors defer a unit, a purchase completes it; a unit is a user in a run of a thousand events."""
+    e = st.read_events(spark, sf_dir).withColumns({
+        "unit": F.concat_ws(":", "user_id", F.floor(F.col("event_id") / 1000)), "outcome": F.when(F.col("event_type") == "error", "deferred").when(F.col("event_type") == "purchase", "completed")})
+    return st.drain(unit_ledger(e, "unit", life_days=2))

@@ -8,6 +8,8 @@ from memlake.operators import ambient as am
 from memlake.operators import rebuild as rb
 from memlake.operators import redact as rd
 from memlake.operators import scoring as sc
+from memlake.operators.store import NoteStore
+from memlake.plans.shared import SharedStage
 from memlake.registry import register, table
 
 QUERIES: dict = {}
@@ -108,3 +110,22 @@ def graph_cache_key(spark, sf_dir):
     """The key of the graph of customers and the nations that they belong to."""
     c = table(spark, sf_dir, "customer")
     return rb.graph_key(c.select(F.col("c_custkey").alias("id")), c.select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("dst")))
+
+
+@query("""WITH d AS (SELECT doc_id, 'docs/doc-' || doc_id || '.md' AS filename, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, filename, CASE WHEN doc_id % 4 = 2 THEN t || ' edited' ELSE t END AS content, CASE WHEN doc_id % 8 = 0 AND doc_id % 16 <> 0 THEN 'dormant' ELSE 'fresh' END AS state FROM d)
+SELECT filename, state, sha256(content) AS content_hash, (CASE WHEN doc_id % 4 = 2 THEN 1 ELSE 0 END)::BIGINT AS versions, (state = 'fresh' AND trim(content) <> '')::BIGINT AS document_chunks FROM n""")
+def note_store_batches(spark, sf_dir):
+    """S5, S13, T-7: the stored tables after four batches of changed files, the second one applied twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("docs/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.coalesce("text", F.lit("")).alias("text"))
+    at = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp").alias("changed_at")
+    rows = lambda which, text, removed, day: docs.where(which).select("filename", text.alias("content"), F.lit(removed).alias("removed"), at(day))
+    text, edited = F.col("text"), F.concat("text", F.lit(" edited"))
+    store = NoteStore(spark, SharedStage(spark, "store").path("notes"), buckets=8)
+    second = rows("doc_id % 4 = 2", text, False, 2).unionByName(rows("doc_id % 4 = 2", edited, False, 3)).unionByName(rows("doc_id % 4 = 3", text, False, 2))
+    for batch, changes in enumerate([rows("doc_id % 4 <> 3", text, False, 1), second, second, rows("doc_id % 8 = 0", text, True, 4).unionByName(rows("doc_id % 4 = 1", text, False, 4)), rows("doc_id % 16 = 0", text, False, 5)]):
+        store.apply(changes, batch if batch < 2 else batch - 1)
+    versions = store.read("versions").groupBy("id").agg(F.count(F.lit(1)).alias("versions"))
+    chunks = store.read("chunks").where("granularity = 'document'").groupBy("id").agg(F.count(F.lit(1)).alias("document_chunks"))
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return store.read("notes").join(versions, "id", "left").join(chunks, "id", "left").select("filename", "state", "content_hash", count("versions"), count("document_chunks"))

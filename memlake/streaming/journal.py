@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memlake.plans.shared import SharedStage
+from memlake.streaming.stateful import DAY, PendingTurns, run_stateful
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,37 +34,26 @@ def dedup(events: DataFrame, key: list[str], delay: str = "48 hours") -> DataFra
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
 
 
+def open_without_close(opens: DataFrame, closes: DataFrame, key: str, within: str = "14 days", delay: str = "48 hours") -> DataFrame:
+    """``(key, opened_at, closed_at)`` of two streams with ``(key, ts)``: each opening with every close of its key in the time after it.
+
+    A stream-stream left outer join under two watermarks.  An opening that no
+    close followed within the time comes out with a null ``closed_at`` once the
+    slower watermark has passed that time; until then it is neither complete nor
+    incomplete.  A close that comes in after that is not seen.  A close that is
+    doubled gives its rows twice; openings without one are not touched by that.
+    """
+    left = opens.select(F.col(key).alias("key"), F.col("ts").alias("opened_at")).withWatermark("opened_at", delay)
+    right = closes.select(F.col(key).alias("other"), F.col("ts").alias("closed_at")).withWatermark("closed_at", delay)
+    near = (F.col("key") == F.col("other")) & (F.col("closed_at") >= F.col("opened_at")) & (F.col("closed_at") <= F.col("opened_at") + F.expr(f"INTERVAL {within}"))
+    return left.join(right, near, "leftOuter").select("key", "opened_at", "closed_at")
+
+
 def pending_turns(events: DataFrame, key: str, opens: str, closes: str, ttl_days: int = 14) -> DataFrame:
     """``(key, opened, closed, status)``: turns that complete, and, visibly, those that expire after ``ttl_days``.
 
     A turn opens with its first ``opens`` event and ends with the next
     ``closes`` event.  Timers run on event time.
     """
-    ttl = ttl_days * 86_400_000
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = []
-        opened = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            rows.append((k[0], opened, None, "expired"))
-            state.remove()
-        else:
-            for t, kind in sorted((int(t.timestamp() * 1000), kind) for f in frames for t, kind in zip(f["ts"], f["event_type"])):
-                if opened is not None and t - opened > ttl:
-                    rows.append((k[0], opened, None, "expired"))
-                    opened = None
-                if kind == opens and opened is None:
-                    opened = t
-                elif kind == closes and opened is not None:
-                    rows.append((k[0], opened, t, "complete"))
-                    opened = None
-            if opened is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((opened,))
-                state.setTimeoutTimestamp(max(opened + ttl, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["key", "opened", "closed", "status"]).astype({"opened": "Int64", "closed": "Int64"})
-
-    return events.withWatermark("ts", "48 hours").groupBy(key).applyInPandasWithState(
-        step, "key long, opened long, closed long, status string", "opened long", "append", GroupStateTimeout.EventTimeTimeout)
+    turns = events.withWatermark("ts", "48 hours").select(F.col(key).cast("long").alias("key"), "ts", (F.col("event_type") == opens).alias("opens"), (F.col("event_type") == closes).alias("closes"))
+    return run_stateful(turns, "key", PendingTurns(ttl_days * DAY), "key long, opened long, closed long, status string")
