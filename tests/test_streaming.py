@@ -68,6 +68,8 @@ def test_the_ledger_equals_its_batch_step_over_ticks(spark, tmp_path):
         outcome |= {(u, t): "deferred" for t in ticks[1:]}
     for u in units[5:8]:
         outcome |= {(u, t): None for t in ticks[1:]}
+    for u in units[8:12]:
+        outcome |= {(u, t): {1: "deferred", 60: "completed"}.get(t) for t in ticks[1:]}
     events = [(0.0, u, None) for u in units] + [(float(t), u, o) for (u, t), o in sorted(outcome.items(), key=lambda x: x[0][1]) if o] + [(400.0, "last", None)]
     batches = [[e for e in events if low <= e[0] < high] for low, high in ((0, 1), (1, 2.5), (2.5, 7), (7, 9), (9, 31), (31, 61), (61, 300), (300, 500))]
     told = st.drain(unit_ledger(_stream(spark, f"file://{tmp_path}/e", batches, "ts double, unit string, outcome string"), "unit", life_days=4, delay="1 second")).collect()
@@ -90,4 +92,4 @@ def test_the_ledger_equals_its_batch_step_over_ticks(spark, tmp_path):
                 waits.setdefault(x.unit, set()).add((x.next_attempts, x.retry))
     assert {u: last[u] for u in units} == state
     assert {s for s, *_ in state.values()} == {"completed", "permanently_rejected", "expired_visible"}
-    assert all(set(v) <= waits[u] for u, v in due.items()) and any(due.values())
+    assert all(set(v) <= waits[u] for u, v in due.items()) and all(due[u] == [(1, _ms(2))] for u in units[8:12])
