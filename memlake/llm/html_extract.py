@@ -7,7 +7,10 @@ highest score, the content region.  Inside the content element that holds most
 of it (an article, a content column), if there is one, the region grows over all
 words of positive score.  Words of boilerplate elements inside the region are
 left out one by one, so a labelled inline element takes only its own words along.
-An element with a boilerplate name that wraps the content is no boilerplate.
+An element with a boilerplate name that wraps the content is no boilerplate, nor
+is a header inside it that holds the headline.  Clutter without any name goes by
+its words: reader comments from their heading on, and short notices (cookies,
+copyright) beside or at the edges of the content.
 
 Weights come from ``labelled_pages``, small pages whose words are marked as
 content or not: an element weighs the sum of the log odds of its tag and of the
@@ -51,6 +54,20 @@ COSTS = (0.1, 0.2, 0.4, 0.6, 0.9, 1.4)
 STATES = frozenset("has no not with without is".split())
 STATE_ENDS = frozenset("on off open closed ready enabled disabled".split())
 
+#: Words that make a named header part of an article when they stand with it.
+HEADLINE = frozenset("entry post article story page content title headline".split())
+#: Notices that bear no telling name: what a short block at the edge of the content begins with.
+NOTICE = re.compile(
+    r"(?:we|this (?:web)?site|our (?:web)?site) uses? cookies\b|accept (?:all )?cookies\b|cookie (?:policy|settings|notice)\b|copyright (?:\(c\)|©|\d{4})|© ?\d{4}|\(c\) \d{4}"
+    r"|subscribe to our\b|sign up (?:for|to) our\b|follow us on\b|skip to (?:main )?content\b", re.I)
+#: Headings of reader comments.
+COMMENTS = re.compile(r"(?:\d+ |no )?(?:reader )?(?:comments?|replies|responses)(?: \(?\d+\)?)?:?|leave a (?:reply|comment)|join the (?:discussion|conversation)|post a comment", re.I)
+
+
+def is_notice(words: list[str]) -> bool:
+    """A short block that only says what any page of the site says."""
+    return len(words) <= 40 and bool(NOTICE.match(" ".join(words[:12])))
+
 
 def labelled_pages() -> Iterator[tuple[str, str]]:
     """(html, main text): one page for each way to mark up content and each way to mark up boilerplate."""
@@ -165,7 +182,7 @@ class Elements:
     """The elements of one page by number, parents first; 0 is the page."""
 
     def __init__(self):
-        self.parent, self.mark, self.words = [0], [0.0], [0]
+        self.parent, self.mark, self.words, self.tag = [0], [0.0], [0], [""]
         self.holds, self.article, self.main, self.hidden, self.clutter, self.by_tag = [False], [False], [False], [False], [False], [False]
 
     def add(self, parent: int, tag: str, mark: float, named: bool, hidden: bool, clutter: bool, by_tag: bool) -> int:
@@ -173,6 +190,7 @@ class Elements:
         self.parent.append(parent)
         self.mark.append(mark)
         self.words.append(0)
+        self.tag.append(tag)
         self.holds.append(tag in ("article", "main") or named and tag not in ("html", "body"))
         self.article.append(self.article[parent] or tag in ("article", "main"))
         self.main.append(tag == "main")
@@ -181,6 +199,12 @@ class Elements:
         self.by_tag.append(by_tag)
         return len(self.parent) - 1
 
+    def within(self, element: int, outer: int) -> bool:
+        """Whether an element is another one or lies inside it."""
+        while element > outer:
+            element = self.parent[element]
+        return element == outer
+
     def _inherit(self) -> list[float]:
         bad = [0.0]
         for p, mark in zip(self.parent[1:], self.mark[1:]):
@@ -248,6 +272,7 @@ class Extractor:
         tokens: list[float] = []  # words, or the cost of a tag
         within: list[int] = []  # element of each token's words
         owner: list[int] = []  # block of each token's words, -1 for tags
+        waiting: set[int] = set()  # elements named header inside the content that hold no headline yet
         fresh = True
         for kind, what, attrs in _pieces(html):
             if kind == "text":
@@ -286,9 +311,19 @@ class Extractor:
                 if what == "header" and any(page.article[e] for _, e in stack):
                     tag_weight = 0.0  # an article's own header holds its headline
                 total = tag_weight + sum(self.weights.get(n, 0.0) for n in names)
+                inside = any(page.holds[e] for _, e in stack)
+                headed = inside and "header" in names and total - self.weights.get("header", 0.0) * names.count("header") >= 0
+                if headed and not HEADLINE.isdisjoint(names):
+                    total -= self.weights.get("header", 0.0) * names.count("header")
+                    headed = False
+                if what in ("h1", "h2"):
+                    for e in waiting.intersection(e for _, e in stack):  # a header that holds a headline
+                        page.mark[e], page.clutter[e] = (-4.0 if page.hidden[e] else 0.0), False
                 clutter = total < 0
                 mark = min(total, -1.0) if clutter and what not in ("html", "body", "article", "main") else -4.0 if hidden else 0.0
                 stack.append((what, page.add(stack[-1][1], what, mark, total > 0, hidden, clutter, tag_weight < 0)))
+                if headed:
+                    waiting.add(stack[-1][1])
             else:
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == what), 0)
                 # A stray inline end does not close the blocks around it.
@@ -312,9 +347,32 @@ class Extractor:
         if wide:
             region = set(chosen)
             chosen = [i for i, (_, holders) in enumerate(blocks) if i in region or min(wide) in holders]
+        chosen = self._without_notices(page, blocks, good, [b for b in chosen if good[b]], min(wide, default=0))
         return "\n\n".join(" ".join(good[b]) for b in chosen if good[b])
 
 
+    def _without_notices(self, page: Elements, blocks: list, good: list[list[str]], chosen: list[int], holder: int) -> list[int]:
+        """The chosen blocks but for clutter that bears no name: comments from their heading on, notices beside or at the edges of the content."""
+        kept, until = [], 0
+        for b in chosen:
+            element = blocks[b][0][0][1]
+            if until and page.within(element, until):
+                continue
+            until = 0
+            if kept and page.tag[element] in HEADINGS - {"h1"} and COMMENTS.fullmatch(" ".join(good[b])):
+                until = page.parent[element]  # the rest of the element that the heading stands in
+                continue
+            kept.append(b)
+        if holder:
+            kept = [b for b in kept if holder in blocks[b][1] or not is_notice(good[b])]
+        low, high = 0, len(kept)
+        while low < high and is_notice(good[kept[low]]):
+            low += 1
+        while high > low and is_notice(good[kept[high - 1]]):
+            high -= 1
+        return kept[low:high] or chosen  # a page of notices only keeps them
+
+
 def fit_cost(pages: Iterable[tuple[str, str]], weights: dict[str, float]) -> float:
     """The cost of a block tag that finds the words of labelled pages best (F1), the middle one of the best."""
     gold = [(html, Counter(text.split())) for html, text in pages]

@@ -374,3 +374,22 @@ def test_a_chain_of_near_copies_is_one_component(spark):
         want |= {ids[i]: min(ids[low:high]) for i in range(low, high)}
     found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4, percent=80).collect()
     assert {r.id: r.component_id for r in found} == want
+
+
+STORY = "word " * 59 + "word"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<nav><a>x</a></nav><article class="post"><header class="entry-header"><h1 class="entry-title">My Headline Here</h1></header><div class="entry-content"><p>{STORY}</p></div></article>', f"My Headline Here\n\n{STORY}"),
+    (f'<article><div class="entry-header"><h1>My Headline</h1></div><p>{STORY}</p></article>', f"My Headline\n\n{STORY}"),
+    (f'<article><div class="article-header"><h2>My Headline</h2><p>by me</p></div><p>{STORY}</p></article>', f"My Headline\n\nby me\n\n{STORY}"),
+    (f'<article><div class="header"><h1>My Headline</h1></div><p>{STORY}</p></article>', f"My Headline\n\n{STORY}"),
+    (f'<div class="header"><h1>Site Name</h1><ul><li><a>Home</a></li></ul></div><article><h1>Head</h1><p>{STORY}</p></article>', f"Head\n\n{STORY}"),
+    (f"<div>We use cookies. Accept all</div><article><h1>Head</h1><p>{STORY}</p></article>", f"Head\n\n{STORY}"),
+    (f"<main><h1>Head</h1><p>{STORY}</p><p>Copyright 2024 Example Inc</p></main>", f"Head\n\n{STORY}"),
+    (f'<main><h1>Head</h1><p>{STORY}</p><section><h3>3 Comments</h3><div class="c-item">Nice one there</div><div class="c-item">Agreed</div></section></main>', f"Head\n\n{STORY}"),
+    (f"<article><h1>Head</h1><p>{STORY}</p><p>We use cookies to bake with.</p><p>{STORY}</p><p>All rights reserved.</p></article>", f"Head\n\n{STORY}\n\nWe use cookies to bake with.\n\n{STORY}\n\nAll rights reserved."),
+    ("<main><p>Copyright 2024 Example Inc</p></main>", "Copyright 2024 Example Inc"),
+])
+def test_headlines_stay_and_clutter_without_a_name_goes(page, want):
+    assert he.Extractor(*he.learned()).text(f"<body>{page}</body>") == want
