@@ -157,17 +157,49 @@ def mutual_backbone(edges: DataFrame, k: int = 3) -> DataFrame:
     return ends.select("a", "b", "similarity", tier.alias("tier"))
 
 
-def blast_radius(targets: DataFrame, calls: DataFrame, max_rounds: int = 100) -> DataFrame:
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """G4 connectivity: ``(a, b, similarity)`` of the maximum spanning forest of (src, dst, similarity) edges.
+
+    Boruvka's rounds: each component takes the first of the edges that leave it
+    (highest similarity, then least ends), components that these join become
+    one, and of edges between two components the first stays.  Components fall
+    to half or less per round, so the rounds end by themselves.  Self edges and
+    null ends carry nothing; of repeated edges the most similar counts.
+    """
+    stage = SharedStage(edges.sparkSession, "spanning")
+    first = lambda *more: F.min(F.struct((-F.col("similarity")).alias("order"), "a", "b", "similarity", *more)).alias("m")
+    one = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("similarity").alias("similarity"))
+    left = stage.put(one.select(F.col("a").alias("u"), F.col("b").alias("v"), "a", "b", "similarity"), "edges")
+    out = left.select("a", "b", "similarity").limit(0)
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v"), "a", "b", "similarity"))
+        best = both.groupBy("u").agg(first("v"))
+        chosen = stage.put(best.select("u", F.col("m.v").alias("v"), F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("m.similarity").alias("similarity")), "chosen")
+        out = out.unionByName(chosen.select("a", "b", "similarity").distinct())
+        homes = connected_components(chosen, "u", "v")
+        home = lambda c: homes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))  # noqa: B023, E731
+        apart = left.join(home("u"), "u").join(home("v"), "v").where("u_in <> v_in")
+        fewer = apart.groupBy(F.least("u_in", "v_in").alias("u"), F.greatest("u_in", "v_in").alias("v")).agg(first()).select("u", "v", "m.a", "m.b", "m.similarity")
+        fewer = stage.put(fewer, "edges")
+        stage.drop(left)
+        left = fewer
+    return out
+
+
+def blast_radius(targets: DataFrame, calls: DataFrame) -> DataFrame:
     """``(target, caller, depth)``: all that call a target, however indirectly; cycles end, since only new pairs go on."""
     stage = SharedStage(calls.sparkSession, "blast")
     seen = front = stage.put(targets.select(F.col("id").alias("target"), F.col("id").alias("caller"), F.lit(0).alias("depth")), "seen")
-    for depth in range(1, max_rounds + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = front.select("target", F.col("caller").alias("callee")).join(calls, "callee").select("target", "caller").distinct()
         front = stage.put(step.join(seen.select("target", "caller"), ["target", "caller"], "left_anti").withColumn("depth", F.lit(depth)), "front")
-        if not front.limit(1).count():
+        if front.isEmpty():
             return seen.where("depth > 0")
-        seen = stage.put(seen.unionByName(front), "seen")
-    raise RuntimeError(f"callers go on beyond {max_rounds} rounds")
+        merged = stage.put(seen.unionByName(front), "seen")
+        stage.drop(seen)
+        seen = merged
 
 
 def diagnose(notes: DataFrame, links: DataFrame) -> DataFrame:

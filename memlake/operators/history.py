@@ -26,6 +26,35 @@ def as_of(facts: DataFrame, when: Column, expired: str | None = None) -> DataFra
     return facts.where(seen)
 
 
+#: Buckets of an interval at its level, and the levels: each is SPAN times as wide as the one before.
+SPAN, LEVELS, FINEST = 32, 5, 3600
+
+
+def valid_at(times: DataFrame, facts: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
+    """J19, T-1 for many times at once: every row of ``times`` with each fact of its keys that held at its time.
+
+    Intervals are half-open, a null start or end is open.  An interval lies in at
+    most SPAN + 1 time buckets of the level that fits its length; those with an
+    open end, or longer than all levels, lie in one bucket beside.  A time looks
+    into one bucket per level, so a busy key's facts meet only the times near
+    them, and each pair meets once.  Columns of both sides are kept (keys once),
+    null keys and null times match nothing.
+    """
+    level, bucket, low, high, moment = "__level", "__bucket", "__low", "__high", "__moment"
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    width = lambda i: FINEST * SPAN**i
+    length = F.col(high) - F.col(low)
+    fits = F.coalesce(*[F.when(length <= SPAN * width(i), i) for i in range(LEVELS)], F.lit(LEVELS))
+    wide = F.element_at(F.array(*[F.lit(width(i)).cast("long") for i in range(LEVELS)]), F.col(level) + 1)
+    held = facts.withColumns({low: seconds("valid_from"), high: seconds("valid_until")}).withColumn(level, F.when(length.isNull(), F.lit(LEVELS)).otherwise(fits))
+    inside = F.when(F.col(level) == LEVELS, F.array(F.lit(0).cast("long"))).when(length < 0, F.array().cast("array<long>")).otherwise(F.sequence(F.floor(F.col(low) / wide), F.floor(F.col(high) / wide)))
+    held = held.withColumn(bucket, F.explode(inside)).drop(low, high)
+    looks = F.array(*[F.struct(F.lit(i).alias(level), F.floor(F.col(moment) / width(i)).alias(bucket)) for i in range(LEVELS)], F.struct(F.lit(LEVELS).alias(level), F.lit(0).cast("long").alias(bucket)))
+    asked = times.withColumn(moment, seconds(at)).where(F.col(moment).isNotNull()).select(*times.columns, F.inline(looks))
+    met = asked.join(held, [*keys, level, bucket])
+    return met.where((F.col("valid_from").isNull() | (F.col("valid_from") <= F.col(at))) & (F.col("valid_until").isNull() | (F.col("valid_until") > F.col(at)))).drop(level, bucket)
+
+
 def opening_before(events: DataFrame, keys: list[str], order: list[str], opens: Column, value: str) -> DataFrame:
     """Adds ``opening``: the value of the last opening event before this one in its session."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -141,6 +141,17 @@ def mutual_topk_backbone(spark, sf_dir):
     return gr.mutual_backbone(pairs).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"""WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM {EACH} a JOIN {EACH} b ON a.vec_id < b.vec_id),
+e AS MATERIALIZED (SELECT a, b, s, row_number() OVER (ORDER BY round(s, 9) DESC, a, b) AS i FROM p WHERE s >= .3),
+d AS MATERIALIZED (SELECT i, a AS x, b AS y FROM e UNION ALL SELECT i, b, a FROM e),
+r(i, node) AS (SELECT i, a FROM e UNION SELECT r.i, d.y FROM r JOIN d ON d.x = r.node AND d.i < r.i)
+SELECT a, b, round(round(s, 9), 6) AS similarity FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.i = e.i AND r.node = e.b)""")
+def spanning_edges(spark, sf_dir):
+    """G4 connectivity: the links that hold the graph of similar vectors together; in SQL, those whose ends no better link joins."""
+    pairs = similar_pairs(table(spark, sf_dir, "embeddings"), 0.3).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round("similarity", 9).alias("similarity"))
+    return gr.spanning_forest(pairs).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("""WITH RECURSIVE c AS (SELECT p_partkey AS caller, p_partkey // 3 AS callee FROM part), r(target, caller) AS (SELECT callee, caller FROM c WHERE callee IN (SELECT p_partkey FROM part WHERE p_partkey % 20 = 0) UNION SELECT r.target, c.caller FROM r JOIN c ON c.callee = r.caller)
 SELECT target, caller FROM r WHERE caller <> target""")
 def blast_radius(spark, sf_dir):

@@ -183,3 +183,12 @@ def stream_unit_ledger(spark, sf_dir):
     e = st.read_events(spark, sf_dir).withColumns({
         "unit": F.concat_ws(":", "user_id", F.floor(F.col("event_id") / 1000)), "outcome": F.when(F.col("event_type") == "error", "deferred").when(F.col("event_type") == "purchase", "completed")})
     return st.drain(unit_ledger(e, "unit", life_days=2))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_until FROM events WHERE event_type IN ('purchase', 'signup'))
+SELECT e.event_id, s.event_id AS fact_id FROM events e JOIN s ON s.user_id = e.user_id AND s.valid_from <= e.ts AND (s.valid_until IS NULL OR s.valid_until > e.ts)""")
+def facts_at_event_times(spark, sf_dir):
+    """J19, T-1: what each user's last statement was at each of their events, all times at once."""
+    e = _events(spark, sf_dir)
+    facts = hi.intervals(e.where("event_type IN ('purchase', 'signup')"), ["user_id"], "ts", "event_id").select("user_id", F.col("event_id").alias("fact_id"), "valid_from", "valid_until")
+    return hi.valid_at(e.select("event_id", "user_id", F.col("ts").alias("at")), facts, ["user_id"]).select("event_id", "fact_id")
