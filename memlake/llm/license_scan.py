@@ -43,7 +43,7 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to {deal in the Software} without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby {granted, provided that} the above copyright notice and this permission notice appear in all copies"),
     ("GPL-3.0", "This work is licensed under the {GNU General Public} License, {version 3}"),
     ("GPL-3.0", "Licensed under the {GNU General Public} License, {version 3}"),
@@ -119,19 +119,34 @@ WHOLE_TEXTS = [
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
     ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
 ]
+#: SPDX identifiers, as an identifier line names them.
+IDENTIFIERS = (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.0 Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0 Artistic-2.0 Beerware BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent "
+    "BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 "
+    "CC-BY-SA-4.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CECILL-B CECILL-C CPAL-1.0 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FTL GFDL-1.2-or-later GFDL-1.3-or-later GPL-1.0-or-later "
+    "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later HPND IJG IPL-1.0 ISC JSON LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only "
+    "LGPL-3.0-or-later Libpng LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SISSL "
+    "Sleepycat SSPL-1.0 TCL Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Xnet ZPL-2.1 Zlib").split()
 NOTICES = len(TEMPLATES)
 TEMPLATES += WHOLE_TEXTS
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS]
 
 def _hashes(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, of_row = tv.tokens(part, offsets, tv.ALNUM)
     return tv.word_hashes(part, starts, ends), of_row
 
 
+NOT = _hashes(np.frombuffer(b"not", np.uint8), np.array([0, 3]))[0][0]
+
+
 class Templates:
     """Templates by shingle size and level: shingle sets and a signature each; telling phrases; wider rivals."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         self.names = [n for n, _ in templates]
+        lines = {i: n for i, (n, t) in enumerate(templates) if t.startswith("SPDX-License-Identifier:")}
+        count = lambda n: len(re.findall("[A-Za-z0-9]+", n))
+        self.longer = {i: [(j, count(m) - count(n)) for j, m in lines.items() if m.startswith(f"{n}-")] for i, n in lines.items()}
         self.groups: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]] = {}
         self.telling: dict[int, list[np.ndarray]] = {}
         self.wider: dict[int, list[int]] = {}
@@ -155,6 +170,10 @@ class Templates:
         for i, own in sets:
             self.wider[i] = [j for j, other in sets if len(other) > len(own) and self.names[i] != self.names[j] and np.isin(own, other).mean() >= 0.8]
 
+    def _part_of_longer(self, r: int, i: int, last: int, spots: dict) -> bool:
+        """Whether the identifier line that ends here goes on to a longer identifier: "GPL-3.0-only" holds "GPL-3.0"."""
+        return any(last + more == x[3] for j, more in self.longer.get(i, ()) for x in spots.get((r, j), ()))
+
     @staticmethod
     def _telling(text: str, words: np.ndarray, of_row: np.ndarray, size: int) -> list[np.ndarray]:
         """For each phrase in braces, the shingles that hold all of it."""
@@ -187,6 +206,7 @@ class Templates:
                 self._scan(size, values, cut, least, spots)
         best: dict[tuple[int, int], tuple[float, int]] = {}
         for (r, i), found in spots.items():
+            found = [x for x in found if not (x[2] and words[of_row[r] + x[2] - 1] == NOT) and not self._part_of_longer(r, i, x[3], spots)]
             over = [(a, b) for j in self.wider.get(i, ()) for _, _, a, b in spots.get((r, j), ())]
             free = [(-share, place) for share, place, a, b in found if not any(c <= a and b <= d for c, d in over)]
             if free:
@@ -248,9 +268,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A template has at least ``least`` of its shingles in the window, one of fewer than
     nine words all of them, and its phrases in braces; one of another license that holds
-its wording and more takes the passage.  ``template`` numbers the list; words are runs of letters and digits, A-Z
+    its wording and more takes the passage.  A passage after the word "not" tells
+    no license, an opening that several share only their family (BSD).  ``template`` numbers the list; words are runs of letters and digits, A-Z
     lower-cased.  Null and empty texts match nothing; a text shorter than a
-    shingle is one.  Nothing is shuffled.
+    shingle is one.  Repeated rows and null ids are read as any other; of equally
+    good windows the first counts; a text of any length is read whole; only the two
+    named columns are read, so others cannot clash.  An empty table gives an empty
+    result.  Nothing is shuffled.
     """
     known = templates if templates is not None else TEMPLATES
 

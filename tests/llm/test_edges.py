@@ -393,3 +393,20 @@ STORY = "word " * 59 + "word"
 ])
 def test_headlines_stay_and_clutter_without_a_name_goes(page, want):
     assert he.Extractor(*he.learned()).text(f"<body>{page}</body>") == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: see COPYING", {"BSD"}),
+    ("This is not licensed under the MIT License, whatever it says", set()), ("It is licensed under the MIT License", {"MIT"}),
+    ("// SPDX-License-Identifier: GPL-3.0-only\nint main;", {"GPL-3.0-only"}), ("# SPDX-License-Identifier: GPL-3.0", {"GPL-3.0"}), ("/* SPDX-License-Identifier: Apache-2.0 */ x", {"Apache-2.0"}),
+    ("SPDX-License-Identifier: MIT\n\nSPDX-License-Identifier: BSD-2-Clause-Patent", {"MIT", "BSD-2-Clause-Patent"}), ("identifier of a license: MIT", set())])
+def test_families_identifiers_and_negation(spark, text, want):
+    assert {r["license"] for r in ls.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()} == want
+
+
+def test_license_ids_and_long_repeated_rows(spark):
+    assert len({n for n, _ in ls.TEMPLATES}) >= 100
+    long = "filler words of a text " * 40_000 + "Licensed under the MIT License"
+    rows = [(1, long, "x"), (1, long, "x"), (None, "Licensed under the MIT License", "y"), (2, None, "z")]
+    got = ls.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()
+    assert sorted(((r["doc_id"], r["license"]) for r in got), key=str) == [(1, "MIT"), (1, "MIT"), (None, "MIT")]

@@ -294,7 +294,7 @@ def test_licenses(spark):
     texts = ODD + [f"{prose(1, 90)}\nReleased under the MIT license. {prose(2, 5)}", f"{prose(3, 33)} {long.upper()} {prose(4, 9)}", "All rights reserved", "Licensed under CC BY-NC 4.0.", "released the license under MIT"]
     got = {(r["doc_id"], r["license"]) for r in scan_licenses(docs(spark, texts)).collect()}
     n = len(ODD)
-    assert got == {(n, "MIT"), (n + 1, "BSD-3-Clause"), (n + 2, "All-rights-reserved"), (n + 3, "CC-BY-NC-4.0")}
+    assert got == {(n, "MIT"), (n + 1, "BSD"), (n + 2, "All-rights-reserved"), (n + 3, "CC-BY-NC-4.0")}
     assert scan_licenses(docs(spark, texts).limit(0)).count() == 0
 
 
