@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: A table of more bytes per core comes in pieces enough.
-SMALL = 32 << 20
+#: A table of more bytes per core than opening a file is worth comes in pieces enough.
+SMALL = 4 << 20
 
 
 def spread_small(df: DataFrame) -> DataFrame:

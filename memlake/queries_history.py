@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.operators import history as hi
+from memlake.operators import lineage as li
+from memlake.operators import listing as lt
 from memlake.operators import ingest as ing
 from memlake.registry import register, table
 from memlake.streaming import journal as st
@@ -95,11 +97,11 @@ def change_ranking(spark, sf_dir):
     return out.select("event_id", "change_type", F.round("importance", 6).alias("importance"), "in_brief")
 
 
-@query("SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 500")
+@query("SELECT event_id, user_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 500")
 def changes_feed(spark, sf_dir):
     """K2: a feed of at most 500 rows."""
-    e = _events(spark, sf_dir).where(F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz"))
-    return e.orderBy(F.col("ts").desc(), "event_id").limit(500).select("event_id", "user_id", "event_type")
+    changes = _events(spark, sf_dir).withColumn("id", F.col("event_id"))
+    return lt.changes_since(changes, F.lit("2024-01-20").cast("timestamp_ntz")).select("event_id", "user_id", "event_type")
 
 
 @query("SELECT arg_max(event_id, (ts, event_id)) AS event_id, user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
@@ -108,13 +110,14 @@ def log_compaction(spark, sf_dir):
     return hi.latest(_events(spark, sf_dir), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
-@query("""SELECT CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'curator_output' WHEN user_id % 10 = 0 THEN 'private' ELSE 'eligible' END AS reason, count(*) AS n FROM events GROUP BY 1""")
+@query("""SELECT CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'curator_output' WHEN user_id % 10 = 0 THEN 'private' WHEN event_type = (SELECT max(event_type) FROM events) THEN 'not_allowed' ELSE 'eligible' END AS reason, count(*) AS n FROM events GROUP BY 1""")
 def lineage_eligibility(spark, sf_dir):
-    """Why events may not be used, counted."""
+    """Why events may not be used, counted; the first kind is the curator's own, the last on no list."""
     e = _events(spark, sf_dir)
-    first = e.agg(F.min("event_type").alias("t")).select("t").scalar()
-    reason = F.when(F.col("event_type") == first, "curator_output").when(F.col("user_id") % 10 == 0, "private").otherwise("eligible")
-    return e.withColumn("reason", reason).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())  # a handful
+    path = F.when(F.col("user_id") % 10 == 0, "home/private/log.md").otherwise("home/log.md")
+    judged = li.eligibility(e.select(F.col("event_type").alias("kind"), path.alias("path")), kinds[1:-1], kinds[:1])
+    return judged.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT 'turn:' || conv_id AS unit, count(*) AS n, array_to_string(list(role ORDER BY turn), ',') AS roles FROM conversations GROUP BY conv_id""")

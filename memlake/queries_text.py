@@ -9,6 +9,8 @@ from memlake.operators import gate as ga
 from memlake.operators import ingest as ing
 from memlake.operators import redact as rd
 from memlake.operators import vector as ve
+from memlake.operators import listing as lt
+from memlake.plans.spread import spread_small
 from memlake.registry import register, table
 
 QUERIES: dict = {}
@@ -82,11 +84,16 @@ _FLAGS = {
     "long_hex": r"(^|[^A-Za-z0-9])[0-9a-f]{32,}($|[^A-Za-z0-9])",
 }
 
+#: What a text must hold for a flag, quick to look for.
+_NEEDS = {"aws_access_key_id": "AKIA|ASIA", "github_token": "gh[pousr]_", "email": "@"}
+
 
 @query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') AS {n}" for n, p in _FLAGS.items()) + " FROM documents")
 def redact_flags(spark, sf_dir):
     """one flag per class of secret or personal data."""
-    return _docs(spark, sf_dir).select("doc_id", *[F.col("text").rlike(p).alias(n) for n, p in _FLAGS.items()])
+    text = F.col("text")
+    told = {n: text.rlike(p) if n not in _NEEDS else F.when(text.isNotNull(), text.rlike(_NEEDS[n]) & text.rlike(p)) for n, p in _FLAGS.items()}
+    return spread_small(_docs(spark, sf_dir)).select("doc_id", *[f.alias(n) for n, f in told.items()])
 
 
 @query()
@@ -102,30 +109,33 @@ def segment_turns(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id)
-SELECT CASE WHEN toxic = 1 THEN 'dormant' WHEN toxic = 0 THEN 'active' ELSE 'fresh' END AS state, count(*) AS memories, sum(n_chars)::BIGINT AS chars FROM documents LEFT JOIN s USING (doc_id) GROUP BY 1""")
+SELECT CASE WHEN toxic = 1 THEN 'dormant' WHEN toxic = 0 THEN 'active' ELSE 'fresh' END AS state, count(*) AS memories, sum(length(text))::BIGINT AS chars FROM documents LEFT JOIN s USING (doc_id) GROUP BY 1""")
 def status_breakdown(spark, sf_dir):
-    """A2: counts by state, one pass."""
+    """A2: counts by state, one pass; unlabelled documents have no state."""
     states = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    state = F.when(F.col("toxic") == 1, "dormant").when(F.col("toxic") == 0, "active").otherwise("fresh")
-    return _docs(spark, sf_dir).join(states, "doc_id", "left").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("memories"), F.sum("n_chars").alias("chars"))
+    state = F.when(F.col("toxic") == 1, "dormant").when(F.col("toxic") == 0, "active")
+    return lt.status_counts(_docs(spark, sf_dir).join(states, "doc_id", "left").select(state.alias("state"), F.col("text").alias("content")))
 
 
-@query("""WITH d AS (SELECT doc_id, text, lower(string_split(text, chr(10))[1]) AS title FROM documents)
-SELECT 'stub' AS category, doc_id FROM d WHERE length(text) < 100
+@query("""WITH d AS (SELECT doc_id, text, lower(trim(string_split(text, chr(10))[1])) AS title FROM documents)
+SELECT 'stub' AS category, doc_id FROM d WHERE length(coalesce(text, '')) < 100 AND doc_id % 3 <= 1
 UNION ALL SELECT 'test_title', doc_id FROM d WHERE regexp_matches(title, '^(the|test)')
-UNION ALL SELECT 'duplicate_title', doc_id FROM d WHERE title IN (SELECT title FROM d GROUP BY title HAVING count(*) > 1)""")
+UNION ALL SELECT 'never_read', doc_id FROM d WHERE doc_id % 3 = 0 AND doc_id % 2 = 0
+UNION ALL SELECT 'duplicate_title', doc_id FROM d WHERE title <> '' AND title IN (SELECT title FROM d GROUP BY title HAVING count(*) > 1)""")
 def clutter_report(spark, sf_dir):
-    """K4: stubs, test titles and shared titles."""
-    d = _docs(spark, sf_dir).select("doc_id", "text", F.lower(F.element_at(F.split("text", "\n"), 1)).alias("title"))
-    shared = d.select("doc_id", "title").join(d.groupBy("title").count().where("count > 1").select("title"), "title")
-    pick = lambda df, name: df.select(F.lit(name).alias("category"), "doc_id")
-    return pick(d.where(F.length("text") < 100), "stub").unionByName(pick(d.where(F.col("title").rlike("^(the|test)")), "test_title")).unionByName(pick(shared, "duplicate_title"))
+    """K4: stubs, test titles, observations never read and shared titles; every third document is unread, every second an old observation."""
+    i, now = F.col("doc_id"), F.lit("2024-02-01").cast("timestamp")
+    notes = _docs(spark, sf_dir).select(
+        i.alias("id"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("text").alias("content"), (i % 3).alias("access_count"),
+        F.when(i % 2 == 0, "observation").otherwise("note").alias("kind"), (now - F.expr("INTERVAL 30 DAYS")).alias("created_at"))
+    return lt.clutter(notes, now, test_title="^(the|test)").withColumnRenamed("id", "doc_id")
 
 
 @query("SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def consolidate_queue_anti(spark, sf_dir):
     """Notes that nothing has been derived from."""
-    return _docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_chars")
+    notes = _docs(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    return lt.consolidate_queue(notes, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("source_id"))).select(F.col("id").alias("doc_id"), "n_chars")
 
 
 _KINDS = "CASE doc_id % 5 WHEN 0 THEN 'working_state' WHEN 1 THEN 'task' WHEN 2 THEN 'decision' WHEN 3 THEN 'preference' ELSE 'note' END"
@@ -148,17 +158,19 @@ def salience_score(spark, sf_dir):
     return _salience(spark, sf_dir).select("doc_id", "kind", F.round("total", 6).alias("salience"))
 
 
-@query(_SALIENCE + " SELECT doc_id, (total < .30 AND age > 90 AND uses = 0 AND importance = 'low') AS archive FROM t")
+@query(_SALIENCE + " SELECT doc_id, (total < .15 AND age > 90 AND uses = 0 AND importance = 'low') AS archive FROM t")
 def archive_verdict(spark, sf_dir):
-    """F36 with a floor that the made-up usage can reach."""
+    """F36."""
     d = _salience(spark, sf_dir)
-    return d.select("doc_id", ((F.col("total") < 0.30) & (F.col("age") > 90) & (F.col("uses") == 0) & (F.col("importance") == "low")).alias("archive"))
+    return d.select("doc_id", tx.should_archive(F.col("total"), F.col("age"), F.col("uses"), F.col("importance")).alias("archive"))
 
 
-@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5")
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id % 7 DESC, doc_id LIMIT 5")
 def session_top5(spark, sf_dir):
-    """K3: a top-k report."""
-    return _docs(spark, sf_dir).select("doc_id", "n_chars").orderBy(F.col("n_chars").desc(), "doc_id").limit(5)
+    """K3: a top-k report; length stands for strength."""
+    i = F.col("doc_id")
+    top = lt.session_start(_docs(spark, sf_dir).select(i.alias("id"), F.col("n_chars").alias("strength"), (i % 7).alias("access_count")))
+    return top.select(F.col("id").alias("doc_id"), F.col("strength").alias("n_chars"))
 
 
 _GATE_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
