@@ -121,7 +121,7 @@ def okapi_idf(n: Column, df: Column) -> Column:
 
 
 def bm25(
-    queries: DataFrame, index: KeywordIndex, k: int, query_id: str = "query_id", query_text: str = "q", k1: float = 1.5, b: float = 0.75, probe: int = 20,
+    queries: DataFrame, index: KeywordIndex, k: int, query_id: str = "query_id", query_text: str = "q", k1: float = 1.5, b: float = 0.75, probe: int = 20, prune_from: int = 1 << 25,
 ) -> DataFrame:
     """``(query_id, id, score, rank)``: the top ``k`` of each query above a tenth of its best score; ties go by the id.
 
@@ -143,20 +143,23 @@ def bm25(
     weighted = terms.join(held, "term").select("query_id", "term", "df", weight.alias("weight"), (F.greatest(weight, F.lit(0.0)) * factor(F.col("most_tf"), F.col("least_len"))).alias("most"))
     weighted = stage.put(weighted, "weights")
     part = F.col("weight") * factor(F.col("tf"), F.col("doc_len"))
-    # What the best documents have at least: rare terms' parts, and all that negative weights could take off.
-    rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)  # a query's terms
-    first = weighted.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where(F.col("before") < probe * k)
-    losses = weighted.groupBy("query_id").agg(F.sum(F.least("weight", F.lit(0.0)) * (k1 + 1)).alias("loss"))
-    lower = hits.join(first.select("query_id", "term", "weight"), "term").groupBy("query_id", "id").agg(F.sum(part).alias("s"))
-    down = Window.partitionBy("query_id").orderBy(F.col("s").desc())
-    best = lower.withColumn("place", F.row_number().over(down)).where(F.col("place") <= k).groupBy("query_id").agg(F.max("s").alias("top"), F.min(F.when(F.col("place") == k, F.col("s"))).alias("last"))
-    bar = best.join(losses, "query_id").select("query_id", F.greatest(F.col("last") + F.col("loss"), 0.1 * (F.col("top") + F.col("loss"))).alias("bar"))
-    weak = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    told = weighted.withColumn("reach", F.sum("most").over(weak)).join(bar, "query_id", "left")
-    told = stage.put(told.select("query_id", "term", "df", "weight", F.coalesce((F.col("bar") > 0) & (F.col("reach") < F.col("bar") * (1 - 1e-9)), F.lit(False)).alias("idle")), "told")
-    spared, every = told.agg(F.sum(F.when(F.col("idle"), F.col("df"))), F.sum("df")).first()
+    every = weighted.agg(F.sum("df")).first()[0] or 0
+    told, spared = weighted.withColumn("idle", F.lit(False)), 0
+    if every >= prune_from:
+        # What the best documents have at least: rare terms' parts, and all that negative weights could take off.
+        rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)  # a query's terms
+        first = weighted.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where(F.col("before") < probe * k)
+        losses = weighted.groupBy("query_id").agg(F.sum(F.least("weight", F.lit(0.0)) * (k1 + 1)).alias("loss"))
+        lower = hits.join(first.select("query_id", "term", "weight"), "term").groupBy("query_id", "id").agg(F.sum(part).alias("s"))
+        down = Window.partitionBy("query_id").orderBy(F.col("s").desc())
+        best = lower.withColumn("place", F.row_number().over(down)).where(F.col("place") <= k).groupBy("query_id").agg(F.max("s").alias("top"), F.min(F.when(F.col("place") == k, F.col("s"))).alias("last"))
+        bar = best.join(losses, "query_id").select("query_id", F.greatest(F.col("last") + F.col("loss"), 0.1 * (F.col("top") + F.col("loss"))).alias("bar"))
+        weak = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+        told = weighted.withColumn("reach", F.sum("most").over(weak)).join(bar, "query_id", "left")
+        told = stage.put(told.select("query_id", "term", "df", "weight", F.coalesce((F.col("bar") > 0) & (F.col("reach") < F.col("bar") * (1 - 1e-9)), F.lit(False)).alias("idle")), "told")
+        spared = told.agg(F.sum(F.when(F.col("idle"), F.col("df")))).first()[0] or 0
     scored = hits.join(told, "term").select("query_id", "id", "idle", part.alias("part"))
-    if 2 * (spared or 0) >= (every or 0):
+    if spared and 2 * spared >= every:
         found = stage.put(scored.where("NOT idle").groupBy("query_id", "id").agg(F.sum("part").alias("part")), "found")
         scored = found.unionByName(scored.where("idle").join(found.select("query_id", "id"), ["query_id", "id"], "left_semi").select("query_id", "id", "part"))
     score = scored.groupBy("query_id", "id").agg(F.sum("part").alias("score")).where("score <> 0")

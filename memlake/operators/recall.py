@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ from memlake.operators.history import supersede_fraction
 from memlake.operators.vector import knn
 from memlake.plans.shared import SharedStage
 
+#: A text's vector, and how well a note's text answers a query (a logit), as expressions.
+Embedder = Callable[[Column], Column]
+Reranker = Callable[[Column, Column], Column]
+
 #: The stages that ``off`` can switch off.
 SWITCHES = ("semantic", "keyword", "graph", "title", "semantic_title", "exact", "facts", "pagerank", "chunk_window", "recency", "supersede", "rerank", "insight", "temporal", "mmr")
 
@@ -71,6 +77,7 @@ def recall(
     queries: DataFrame, notes: DataFrame, index: KeywordIndex, now: Column, chunks: DataFrame | None = None, entities: DataFrame | None = None, mentions: DataFrame | None = None,
     links: DataFrame | None = None, facts: DataFrame | None = None, titles: DataFrame | None = None, ranks: DataFrame | None = None, logits: DataFrame | None = None,
     k: int = 10, pool: int = 60, off: frozenset[str] = frozenset(), operators: dict[str, str] | None = None, as_of: Column | None = None, spread: bool = False, rerank_top: int = 20,
+    embedder: Embedder | None = None, reranker: Reranker | None = None,
 ) -> DataFrame:
     """The ``k`` best notes of each query: ``(query_id, place, id, score, confidence, source, agent_id, why, shown, degraded)``.
 
@@ -82,7 +89,11 @@ def recall(
     (entity_id, id, name) and ``links`` (src, dst, similarity), ``facts``
     (subject, attribute, value, id, current), ``titles`` (id, embedding),
     ``ranks`` (id, pagerank) and ``logits`` (query_id, id, logit of a
-    re-ranker).  ``off`` names stages to switch off (``SWITCHES``), ``spread``
+    re-ranker).  An ``embedder`` makes the vectors that are not given: those of
+    queries without one, of chunks (from their text) and of titles; a
+    ``reranker`` judges the ``rerank_top`` best of each query in place of
+    ``logits``.  Both are expressions, such as pandas UDFs, so the models run in
+    Spark's tasks.  ``off`` names stages to switch off (``SWITCHES``), ``spread``
     adds notes linked to the best hits.
 
     Pools hold ``pool`` notes a query: that limit is the feature, and all later
@@ -91,6 +102,14 @@ def recall(
     if unknown := off - set(SWITCHES):
         raise ValueError(f"no such stage: {sorted(unknown)}")
     on = lambda name, *needs: name not in off and all(x is not None for x in needs)
+    stage = SharedStage(queries.sparkSession, "recall")
+    if embedder is not None:
+        have = F.col("embedding") if "embedding" in queries.columns else F.lit(None).cast("array<double>")
+        queries = stage.put(queries.withColumn("embedding", F.coalesce(have, embedder(F.col("q")))), "queries")
+        if chunks is not None and "embedding" not in chunks.columns:
+            chunks = stage.put(chunks.withColumn("embedding", embedder(F.col("text"))), "chunks")
+        if titles is None:
+            titles = stage.put(notes.select("id", embedder(F.coalesce("title", F.lit(""))).alias("embedding")), "titles")
     if chunks is None:
         queries = queries.withColumn("embedding", F.lit(None).cast("array<double>"))
     asked = channel_weights(queries, off)
@@ -110,7 +129,6 @@ def recall(
     if not channels:
         raise ValueError("all channels are switched off")
     # Pools are small tables; writing them keeps each step from planning all those before it again.
-    stage = SharedStage(queries.sparkSession, "recall")
     ranked = channels[0]
     for c in channels[1:]:
         ranked = ranked.unionByName(c)
@@ -147,9 +165,13 @@ def recall(
     held = stage.put(held, "held")
     # Re-ranking of the best (R16), then the score (R17) and like titles.
     held = held.withColumn("ce_prob", F.lit(None).cast("double"))
-    if on("rerank", logits):
+    if on("rerank") and (logits is not None or reranker is not None):
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))
-        judged = held.drop("ce_prob").withColumn("h", place).join(logits.select("query_id", "id", "logit"), ["query_id", "id"], "left")
+        judged = held.drop("ce_prob").withColumn("h", place)
+        if logits is None:
+            best = judged.where(F.col("h") <= rerank_top).select("query_id", "id", "content").join(asked.select("query_id", "q"), "query_id")
+            logits = stage.put(best.select("query_id", "id", reranker(F.col("q"), F.coalesce("content", F.lit(""))).alias("logit")), "logits")
+        judged = judged.join(logits.select("query_id", "id", "logit"), ["query_id", "id"], "left")
         top = fu.rank_fuse(judged.where(F.col("h") <= rerank_top).withColumn("logit", F.coalesce("logit", F.lit(-1e9))), "score", "logit").withColumn("score", F.col("fused_score")).drop("fused_score")
         prob = F.when(F.col("logit") > -1e9, 1.0 / (1.0 + F.exp(-F.col("logit"))))
         held = top.unionByName(judged.where(F.col("h") > rerank_top).withColumn("logit", F.lit(-1e9))).withColumn("ce_prob", prob).drop("h", "logit")

@@ -55,6 +55,7 @@ def make(spark):
         hits = rc.recall(queries, notes, index, F.lit(NOW).cast("timestamp"), off=frozenset(off), **{**given, **more})
         return [tuple(r) for r in hits.orderBy("place").collect()]
 
+    run.parts, run.queries = parts, queries
     return run, run()
 
 
@@ -65,6 +66,30 @@ def test_every_stage_changes_the_result(world, stage):
     assert run(off=[stage]) != whole
 
 
+def test_models_drive_the_stages_that_need_them(world):
+    """A toy embedder and re-ranker in place of vectors and logits: R1, R7, R16 and R19 change the result."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<double>")
+    def toy(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [float(sum(len(w) for w in t.lower().split() if ord(w[0]) % 6 == i)) + 0.01 for i in range(6)])
+
+    @pandas_udf("double")
+    def judge(q: pd.Series, content: pd.Series) -> pd.Series:
+        return content.map(lambda c: 5.0 if "Nothing" in c else 2.0 if "Words" in c else -4.0)
+
+    run, _ = world
+    chunks = run.parts["chunks"].drop("embedding")
+    queries = run.queries.drop("embedding")
+    with_models = lambda off=(), **more: run(off=off, queries=queries, drop=("chunks", "titles", "logits"), **{"chunks": chunks, "embedder": toy, "reranker": judge, "k": 4, **more})
+    whole = with_models()
+    assert not whole[0][-2] and whole[0] and len(whole) == 4
+    for stage in ("semantic", "semantic_title", "rerank"):
+        assert with_models(off=[stage]) != whole, stage
+    assert with_models(off=["rerank", "mmr"]) != with_models(off=["rerank"])
+
+
 def test_hits_are_live_ranked_and_explained(world, spark):
     run, whole = world
     ids = [r[2] if isinstance(r[2], int) else r[1] for r in whole]
@@ -134,7 +159,7 @@ def test_index_epochs_equal_a_new_index(spark):
     assert again.epochs == index.epochs == 4
     fresh = KeywordIndex.build(frame(texts), buckets=8)
     asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=5))) for i in range(20)], "query_id long, q string")
-    best = [{(r["query_id"], r["id"], round(r["score"], 9), r["rank"]) for r in bm25(asked, x, 5).collect()} for x in (fresh, index, index.compact(), KeywordIndex.open(spark, index.root, 8))]
+    best = [{(r["query_id"], r["id"], round(r["score"], 9), r["rank"]) for r in bm25(asked, x, 5, prune_from=0).collect()} for x in (fresh, index, index.compact(), KeywordIndex.open(spark, index.root, 8))]
     assert best[0] == best[1] == best[2] == best[3] and len(best[0]) == 100
     assert _postings(index) == _postings(fresh) == _postings(index.compact())
 
@@ -150,7 +175,7 @@ def test_pruned_scores_equal_plain_ones(spark):
     texts = [rng.choices(vocabulary, weights, k=rng.randint(5, 60)) for _ in range(600)]
     asked = [rng.choices(vocabulary, weights, k=6) + [rng.choice(t)] for t in texts[:25]] + [["w0x"], ["unknown"]]
     index = KeywordIndex.build(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), buckets=4)
-    got = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 6)) for r in bm25(spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(asked)], "query_id long, q string"), index, 3, probe=5).collect()}
+    got = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 6)) for r in bm25(spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(asked)], "query_id long, q string"), index, 3, probe=5, prune_from=0).collect()}
     df, mean = Counter(w for t in texts for w in set(t)), sum(map(len, texts)) / len(texts)
     want = {}
     for i, q in enumerate(asked):
