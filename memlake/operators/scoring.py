@@ -18,7 +18,7 @@ def states_gold(statement: Column, gold: Column, terms: Column) -> Column:
     return F.when(has_terms, F.forall(terms, lambda t: F.contains(said, F.lower(t)))).otherwise((whole != "") & F.contains(said, whole))
 
 
-def assign(proposals: DataFrame, gold: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def assign(proposals: DataFrame, gold: DataFrame) -> DataFrame:
     """``(unit_id, proposal_no, gold_no)``: each proposal and each gold item is used once at most.
 
     ``proposals`` has unit_id, proposal_no and statement; ``gold`` unit_id,
@@ -30,9 +30,10 @@ def assign(proposals: DataFrame, gold: DataFrame, max_rounds: int = 1000) -> Dat
     g = gold.select("unit_id", "gold_no", F.col("statement").alias("gold"), "terms")
     met = proposals.select("unit_id", "proposal_no", "statement").join(g, "unit_id").where(states_gold(F.col("statement"), F.col("gold"), F.col("terms")))
     weight = F.greatest(F.size(F.coalesce("terms", F.array().cast("array<string>"))), F.lit(1))
+    met = met.where("proposal_no IS NOT NULL AND gold_no IS NOT NULL")
     left = stage.put(met.select("unit_id", "proposal_no", "gold_no", weight.alias("weight")), "left")
     taken = None
-    for _ in range(max_rounds):
+    while True:  # each round takes one match of each unit at least
         order = [F.col("weight").desc(), "proposal_no", "gold_no"]
         lead = lambda key: F.row_number().over(Window.partitionBy("unit_id", key).orderBy(*order)) == 1
         won = stage.put(left.withColumns({"p": lead("proposal_no"), "g": lead("gold_no")}).where("p AND g").select("unit_id", "proposal_no", "gold_no"), "won")
@@ -41,7 +42,6 @@ def assign(proposals: DataFrame, gold: DataFrame, max_rounds: int = 1000) -> Dat
         left = stage.put(rest.select("unit_id", "proposal_no", "gold_no", "weight"), "left")
         if left.isEmpty():
             return taken
-    raise RuntimeError(f"matches are left after {max_rounds} rounds")
 
 
 def unit_scores(proposals: DataFrame, gold: DataFrame) -> DataFrame:
