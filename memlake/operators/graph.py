@@ -15,10 +15,27 @@ LINK_WEIGHTS = {"manual": 1.0, "entity": 0.85, "defines": 0.85, "uses": 0.75, "d
 
 
 def co_mentions(mentions: DataFrame, entity: str, note: str, least: int = 1) -> DataFrame:
-    """``(a, b, shared, similarity)``, a < b, for notes that share entities; similarity min(1, .5 + .1 n)."""
-    m = mentions.select(F.col(entity).alias("e"), F.col(note).alias("n")).distinct()
-    pairs = m.select("e", F.col("n").alias("a")).join(m.select("e", F.col("n").alias("b")), "e").where("a < b")
-    n = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    """``(a, b, shared, similarity)``, a < b, for notes that share ``least`` entities or more; similarity min(1, .5 + .1 n).
+
+    Entities are put in one order, the rare ones first.  Two notes that share
+    ``least`` entities share one that is not among the last ``least`` - 1 of
+    either, so only the others bring pairs: from two on, an entity that nearly
+    all notes mention is the last of each and brings none.  The shared entities
+    of the pairs found are then counted in full.  With ``least`` = 1 every pair
+    of an entity's notes is a link, and all come out.
+    """
+    m = mentions.select(F.col(entity).alias("e"), F.col(note).alias("n")).where("e IS NOT NULL AND n IS NOT NULL").distinct()
+    if least < 2:
+        pairs = m.select("e", F.col("n").alias("a")).join(m.select("e", F.col("n").alias("b")), "e").where("a < b")
+        n = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    else:
+        df = m.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        sets = m.join(df, "e").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es")).where(F.size("es") >= least)  # a note's entities
+        sets = SharedStage(mentions.sparkSession, "mentions").put(sets.select("n", F.transform("es", lambda x: x["e"]).alias("es")), "sets")
+        early = sets.select("n", F.explode(F.slice("es", F.lit(1), F.size("es") - (least - 1))).alias("e"))
+        found = early.select("e", F.col("n").alias("a")).join(early.select("e", F.col("n").alias("b")), "e").where("a < b").select("a", "b").distinct()
+        whole = found.join(sets.select(F.col("n").alias("a"), F.col("es").alias("x")), "a").join(sets.select(F.col("n").alias("b"), F.col("es").alias("y")), "b")
+        n = whole.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared")).where(F.col("shared") >= least)
     return n.withColumn("similarity", F.least(F.lit(1.0), 0.5 + 0.1 * F.col("shared")))
 
 

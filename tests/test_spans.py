@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 
-from memlake.operators.graph import blast_radius, spanning_forest
+import pytest
+
+from memlake.operators.graph import blast_radius, co_mentions, spanning_forest
 from memlake.operators.history import valid_at
 
 
@@ -59,3 +61,13 @@ def test_every_time_against_every_fact(spark):
     want = sorted((j, i) for j, k, t in times for f, i, low, high in facts if k and k == f and t and (low is None or low <= t) and (high is None or high > t))
     assert got == want and len(want) > 300
     assert "CartesianProduct" not in frame._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_notes_that_share_entities(spark, least):
+    """One entity is in every note; held against all pairs."""
+    r = random.Random(least)
+    notes = {n: {0} | set(r.sample(range(1, 40), r.randint(0, 5))) for n in range(120)}
+    rows = [(e, n) for n, es in notes.items() for e in es] + [(0, 5), (None, 3), (4, None)]
+    got = sorted((x.a, x.b, x.shared) for x in co_mentions(spark.createDataFrame(rows, "e long, n long"), "e", "n", least).collect())
+    assert got == sorted((a, b, len(notes[a] & notes[b])) for a in notes for b in notes if a < b and len(notes[a] & notes[b]) >= least)
