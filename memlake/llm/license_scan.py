@@ -129,7 +129,9 @@ IDENTIFIERS = (
     "Sleepycat SSPL-1.0 TCL Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Xnet ZPL-2.1 Zlib").split()
 NOTICES = len(TEMPLATES)
 TEMPLATES += WHOLE_TEXTS
-TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS]
+#: What begins an identifier line, three words.
+MARKER = "SPDX-License-Identifier"
+TEMPLATES += [(name, f"{MARKER}: {name}") for name in IDENTIFIERS]
 
 def _hashes(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, of_row = tv.tokens(part, offsets, tv.ALNUM)
@@ -144,15 +146,20 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, str]]):
         self.names = [n for n, _ in templates]
-        lines = {i: n for i, (n, t) in enumerate(templates) if t.startswith("SPDX-License-Identifier:")}
-        count = lambda n: len(re.findall("[A-Za-z0-9]+", n))
-        self.longer = {i: [(j, count(m) - count(n)) for j, m in lines.items() if m.startswith(f"{n}-")] for i, n in lines.items()}
+        self.identifiers: dict[tuple[int, ...], int] = {}  # words after the marker -> template
+        self.marker, self.marked = len(templates), np.zeros(0, np.uint64)
         self.groups: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]] = {}
         self.telling: dict[int, list[np.ndarray]] = {}
         self.wider: dict[int, list[int]] = {}
-        for i, (_, text) in enumerate(templates):
+        lines = any(t.startswith(f"{MARKER}:") for _, t in templates)
+        for i, (_, text) in enumerate([*templates, ("", MARKER)] if lines else templates):
             data, offsets = tv.utf8(pa.array([text]))
             words, of_row = _hashes(tv.LOWER[data], offsets)
+            if i == self.marker:
+                self.marked = words
+            elif text.startswith(f"{MARKER}:"):  # found by the marker, told by the words after it
+                self.identifiers[tuple(words[3:].tolist())] = i
+                continue
             size = 5 if len(words) >= 9 else min(2, max(len(words), 1))
             own = np.unique(tv.shingles(words, of_row, size)[0])
             if not len(own):
@@ -170,9 +177,15 @@ class Templates:
         for i, own in sets:
             self.wider[i] = [j for j, other in sets if len(other) > len(own) and self.names[i] != self.names[j] and np.isin(own, other).mean() >= 0.8]
 
-    def _part_of_longer(self, r: int, i: int, last: int, spots: dict) -> bool:
-        """Whether the identifier line that ends here goes on to a longer identifier: "GPL-3.0-only" holds "GPL-3.0"."""
-        return any(last + more == x[3] for j, more in self.longer.get(i, ()) for x in spots.get((r, j), ()))
+    def _identified(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(template, first word) of each identifier line of a row that holds the marker: the longest identifier after it."""
+        at = np.flatnonzero((words[:-3] == self.marked[0]) & (words[1:-2] == self.marked[1]) & (words[2:-1] == self.marked[2])) if len(words) > 3 else []
+        longest = max(map(len, self.identifiers))
+        for place in at:
+            after = tuple(words[place + 3 : place + 3 + longest].tolist())
+            found = next((self.identifiers[after[:n]] for n in range(len(after), 0, -1) if after[:n] in self.identifiers), None)
+            if found is not None:
+                yield found, int(place)
 
     @staticmethod
     def _telling(text: str, words: np.ndarray, of_row: np.ndarray, size: int) -> list[np.ndarray]:
@@ -206,7 +219,11 @@ class Templates:
                 self._scan(size, values, cut, least, spots)
         best: dict[tuple[int, int], tuple[float, int]] = {}
         for (r, i), found in spots.items():
-            found = [x for x in found if not (x[2] and words[of_row[r] + x[2] - 1] == NOT) and not self._part_of_longer(r, i, x[3], spots)]
+            if i == self.marker:
+                for j, place in self._identified(words[of_row[r] : of_row[r + 1]]):
+                    best.setdefault((r, j), (1.0, place))
+                continue
+            found = [x for x in found if not (x[2] and words[of_row[r] + x[2] - 1] == NOT)]
             over = [(a, b) for j in self.wider.get(i, ()) for _, _, a, b in spots.get((r, j), ())]
             free = [(-share, place) for share, place, a, b in found if not any(c <= a and b <= d for c, d in over)]
             if free:
@@ -269,7 +286,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A template has at least ``least`` of its shingles in the window, one of fewer than
     nine words all of them, and its phrases in braces; one of another license that holds
     its wording and more takes the passage.  A passage after the word "not" tells
-    no license, an opening that several share only their family (BSD).  ``template`` numbers the list; words are runs of letters and digits, A-Z
+    no license, an opening that several share only their family (BSD).  An
+    identifier line is retrieved by its marker and told by the longest known
+    identifier after it; its ``window_word`` is the line's first word.  ``template`` numbers the list; words are runs of letters and digits, A-Z
     lower-cased.  Null and empty texts match nothing; a text shorter than a
     shingle is one.  Repeated rows and null ids are read as any other; of equally
     good windows the first counts; a text of any length is read whole; only the two
