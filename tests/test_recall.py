@@ -73,7 +73,7 @@ def test_models_drive_the_stages_that_need_them(world):
 
     @pandas_udf("array<double>")
     def toy(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [float(sum(len(w) for w in t.lower().split() if ord(w[0]) % 6 == i)) + 0.01 for i in range(6)])
+        return text.map(lambda t: [1.0 if ord(t.lower()[:1] or " ") % 7 == i else 0.01 for i in range(7)])  # texts of one first letter are alike
 
     @pandas_udf("double")
     def judge(q: pd.Series, content: pd.Series) -> pd.Series:
