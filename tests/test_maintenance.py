@@ -152,7 +152,7 @@ def test_pagerank_converges_to_the_power_iteration(spark):
 @pytest.mark.parametrize("name", sorted(qm.ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("part", "customer", "orders"):
+    for t in ("part", "customer", "orders", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     got, want = qm.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(qm.ORACLES[name]).df()
     key = sorted(got.columns)
