@@ -14,6 +14,10 @@ LINK_WEIGHTS = {"manual": 1.0, "entity": 0.85, "defines": 0.85, "uses": 0.75, "d
                 "works_at": 0.7, "mentions": 0.55, "contradicts": 0.9, "supersedes": 0.9}
 
 
+#: Pairs for each mention that are few enough to count at once.
+PAIRS = 16
+
+
 def co_mentions(mentions: DataFrame, entity: str, note: str, least: int = 1) -> DataFrame:
     """``(a, b, shared, similarity)``, a < b, for notes that share ``least`` entities or more; similarity min(1, .5 + .1 n).
 
@@ -21,15 +25,18 @@ def co_mentions(mentions: DataFrame, entity: str, note: str, least: int = 1) ->
     ``least`` entities share one that is not among the last ``least`` - 1 of
     either, so only the others bring pairs: from two on, an entity that nearly
     all notes mention is the last of each and brings none.  The shared entities
-    of the pairs found are then counted in full.  With ``least`` = 1 every pair
-    of an entity's notes is a link, and all come out.
+    of the pairs found are then counted in full.  Where no entity is busy (up to
+    ``PAIRS`` pairs for each mention) all pairs are counted at once, which gives
+    the same.  With ``least`` = 1 every pair of an entity's notes is a link, and
+    all come out.
     """
     m = mentions.select(F.col(entity).alias("e"), F.col(note).alias("n")).where("e IS NOT NULL AND n IS NOT NULL").distinct()
-    if least < 2:
+    df = m.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    pairs_of, held = df.agg(F.sum(F.col("df") * (F.col("df") - 1) / 2), F.sum("df")).first() if least > 1 else (0, 0)
+    if least < 2 or (pairs_of or 0) <= PAIRS * (held or 0):
         pairs = m.select("e", F.col("n").alias("a")).join(m.select("e", F.col("n").alias("b")), "e").where("a < b")
-        n = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+        n = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
     else:
-        df = m.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         sets = m.join(df, "e").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es")).where(F.size("es") >= least)  # a note's entities
         sets = SharedStage(mentions.sparkSession, "mentions").put(sets.select("n", F.transform("es", lambda x: x["e"]).alias("es")), "sets")
         early = sets.select("n", F.explode(F.slice("es", F.lit(1), F.size("es") - (least - 1))).alias("e"))
