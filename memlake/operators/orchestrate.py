@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlake.functions.text import CURRENCY, light_stem, tokenize
+from memlake.operators.fact_cells import adjust
 
 #: Sections of each intent (intent, section, title, source, most items, floor; null: the intent's own), token budget, floor.
 RECIPES = [
@@ -28,6 +30,9 @@ RECIPES = [
     ("find_source", 1, "Sources", "sources", 5, None, 700, 0.35),
 ]
 
+#: Queries and facts of a cell of ``fact_adjustment``, on average, at most.
+ASKED_IN_CELL, FACTS_IN_CELL = 8192, 250_000
+
 
 def recipes(spark: SparkSession) -> DataFrame:
     """M2: the table of sections, with ``quota``: sections filled by salience first; 17 rows."""
@@ -65,24 +70,33 @@ def fact_adjustment(queries: DataFrame, facts: DataFrame) -> DataFrame:
     note) and current.  A fact matches when the query holds all tokens of its
     subject.  Its note gains 0.25 if it is the subject's only current match, or
     shares most words with the query beyond the subject.  When the query asks
-    for what holds now, notes of replaced facts lose 0.15.  Each fact joins by
-    one token of its subject, the longest, so common words meet few facts.
+    for what holds now, notes of replaced facts lose 0.15.
+
+    Matches may be as many as pairs, so none is shuffled: queries in blocks and
+    facts in blocks of whole subjects meet in cells, which put out what counts.
+    Only matches of notes that have several facts, or of queries that share an
+    id, are summed afterwards.
     """
-    asked = queries.select("query_id", tokenize(F.col("q")).alias("qt"), F.coalesce(F.col("q").rlike(CURRENCY), F.lit(False)).alias("asks_now"))
-    asked = asked.withColumns({"qt": F.array_distinct("qt"), "qs": F.array_distinct(F.transform("qt", light_stem))})
-    st = F.array_distinct(tokenize(F.col("subject")))
+    tally = lambda df, key: df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    (n_asked, same_id), (n_facts, same_note) = tally(queries, "query_id"), tally(facts, "id")
+    high = max(1, -(-n_asked // ASKED_IN_CELL), min(4 * queries.sparkSession.sparkContext.defaultParallelism, n_asked // 64))
+    wide = max(1, -(-n_facts // FACTS_IN_CELL))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.array().cast("array<string>")
+    tokens = F.coalesce(tokenize(F.col("q")), none)
+    asked = queries.select("query_id", F.array_distinct(tokens).alias("words"), F.coalesce(F.col("q").rlike(CURRENCY), F.lit(False)).alias("flag"))
+    asked = asked.withColumn("stems", F.array_distinct(F.transform("words", light_stem)))
     av = F.concat(tokenize(F.coalesce("attribute", F.lit(""))), tokenize(F.coalesce("value", F.lit(""))))
-    known = facts.select("subject", "id", "current", st.alias("st"), F.array_distinct(F.transform(av, light_stem)).alias("av")).where(F.size("st") > 0)
-    longest = F.array_max(F.transform("st", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    hit = known.withColumn("term", longest).join(asked.select("*", F.explode("qt").alias("term")), "term").where(F.size(F.array_except("st", "qt")) == 0)
-    beyond = F.filter("qs", lambda s: F.array_contains("av", s) & ~F.array_contains(F.transform("st", light_stem), s))
-    hit = hit.withColumn("rel", F.size(beyond))
-    subject = Window.partitionBy("query_id", "subject")
-    on = F.col("current")
-    hit = hit.withColumns({"n": F.count_if(on).over(subject), "most": F.max(F.when(on, F.col("rel"))).over(subject)})
-    chosen = on & ((F.col("n") == 1) | ((F.col("most") > 0) & (F.col("rel") == F.col("most"))))
-    out = hit.groupBy("query_id", "id").agg(F.sum(F.when(chosen, 0.25).otherwise(0.0)).alias("boost"), F.sum(F.when(~on & F.col("asks_now") & (F.col("n") > 0), 0.15).otherwise(0.0)).alias("demote"))
-    return out.where("boost > 0 or demote > 0")
+    known = facts.where("subject IS NOT NULL AND current IS NOT NULL").select("subject", "id", F.col("current").alias("flag"), F.array_distinct(tokenize(F.col("subject"))).alias("words"), av.alias("av"))
+    beyond = F.when(F.col("flag"), F.array_except(F.transform("av", light_stem), F.transform("words", light_stem))).otherwise(none)
+    known = known.where(F.size("words") > 0).select("subject", "id", "flag", "words", beyond.alias("stems"))
+    rows = known.select("*", F.lit(True).alias("fact"), block("subject", wide).alias("x"), every(high).alias("y")).unionByName(
+        asked.select("*", F.lit(False).alias("fact"), block("query_id", high).alias("y"), every(wide).alias("x")), allowMissingColumns=True)
+    dealt = rows.withColumn("cell", F.col("y") * wide + F.col("x")).drop("x", "y").repartitionById(high * wide, "cell")
+    kind = lambda df, c: T.StructField(c, df.schema[c].dataType)
+    out = dealt.mapInArrow(adjust, T.StructType([kind(queries, "query_id"), kind(facts, "id"), T.StructField("boost", T.DoubleType()), T.StructField("demote", T.DoubleType())]))
+    return out if max(same_id, same_note) < 2 else out.groupBy("query_id", "id").agg(F.sum("boost").alias("boost"), F.sum("demote").alias("demote"))
 
 
 def apply_facts(scores: DataFrame, adjustment: DataFrame) -> DataFrame:
