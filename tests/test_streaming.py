@@ -93,3 +93,26 @@ def test_the_ledger_equals_its_batch_step_over_ticks(spark, tmp_path):
     assert {u: last[u] for u in units} == state
     assert {s for s, *_ in state.values()} == {"completed", "permanently_rejected", "expired_visible"}
     assert all(set(v) <= waits[u] for u, v in due.items()) and all(due[u] == [(1, _ms(2))] for u in units[8:12])
+
+
+def test_units_that_share_a_bucket_report_what_single_ones_do(spark, tmp_path):
+    r = random.Random(11)
+    kinds = ["deferred", "deferred", "completed", "permanently_rejected", None, None]
+    events = [(h, f"u{r.randrange(60)}" if r.random() < 0.98 else None, r.choice(kinds)) for h in sorted(round(r.uniform(0, 160), 2) for _ in range(700))]
+    late = [(h - 1.5, u, "deferred") for h, u, _ in r.sample(events[350:], 20)]  # behind, but not behind the watermark
+    cuts = [0, 20, 45, 70, 100, 130, 161]
+    batches = [[e for e in events if a <= e[0] < b] + [e for e in late if a <= e[0] + 1.5 < b] for a, b in zip(cuts, cuts[1:])] + [[(400.0, "last", None)]]
+    stream = lambda: spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    folder = f"file://{tmp_path}/e"
+    _stream(spark, folder, batches, "ts double, unit string, outcome string")
+    told = [sorted(map(str, st.drain(unit_ledger(stream(), "unit", life_days=2, delay="2 hours", buckets=n)).collect())) for n in (1, 100_000)]
+    assert told[0] == told[1] and len(told[0]) == len(set(told[0])) > 300 and sum("status='due'" in x for x in told[0]) > 10 and any("unit=None" in x for x in told[0])
+
+
+def test_the_ledgers_state_is_kept_by_buckets(spark, tmp_path):
+    rows = [(0.0, f"u{i}", "deferred" if i % 2 else None) for i in range(1500)]
+    out = unit_ledger(_stream(spark, f"file://{tmp_path}/e", [rows], "ts double, unit string, outcome string"), "unit", life_days=4)
+    run = out.writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    run.awaitTermination()
+    kept = run.recentProgress[0]["stateOperators"][0]
+    assert 0 < kept["numRowsTotal"] <= 3 * 1024 and kept["customMetrics"]["numRegisteredTimers"] <= 1024  # a value and a timer of two rows at most for a bucket
